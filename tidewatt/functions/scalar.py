@@ -205,8 +205,8 @@ def circle_ring(lon: Column, lat: Column, radius_km: float, points: int = 48) ->
     vertices = F.transform(
         F.sequence(F.lit(0), F.lit(points - 1)),
         lambda i: F.array(
-            lon + dlon * F.cos(i * (2 * math.pi) / points),
-            lat + dlat * F.sin(i * (2 * math.pi) / points),
+            lon + dlon * F.cos(i / points * (2 * math.pi)),
+            lat + dlat * F.sin(i / points * (2 * math.pi)),
         ),
     )
     return F.concat(vertices, F.slice(vertices, 1, 1))
