@@ -100,16 +100,10 @@ def holidays_in_span(panel: DataFrame, rules: list[Holiday], ts: str = "time_utc
     With `exact_bounds` a holiday counts only if its midnight is inside the
     span, which loses a holiday on a first day that starts later.
     """
-    lo, hi = F.min(ts), F.max(ts)
-    if not exact_bounds:
-        lo = F.date_trunc("day", lo)
-    bounds = panel.agg(lo.alias("lo"), hi.alias("hi"))
+    lo = panel.agg(F.min(ts) if exact_bounds else F.date_trunc("day", F.min(ts))).scalar()
+    hi = panel.agg(F.max(ts)).scalar()
     at = F.col("day").cast("timestamp")
-    return (
-        holiday_dates(panel_years(panel, ts), rules)
-        .join(F.broadcast(bounds), (at >= F.col("lo")) & (at <= F.col("hi")))
-        .select("day", "holiday")
-    )
+    return holiday_dates(panel_years(panel, ts), rules).where((at >= lo) & (at <= hi))
 
 
 def with_holiday_flag(panel: DataFrame, rules: list[Holiday], name: str, ts: str = "time_utc", exact_bounds: bool = False) -> DataFrame:

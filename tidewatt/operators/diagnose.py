@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatt import constants as K
 from tidewatt.functions import scalar as S
 from tidewatt.operators.ordered import attach_group_stats, top_rows
-from tidewatt.operators.panel import KEY, WEEK, drop_region
+from tidewatt.operators.panel import KEY, drop_region, week
 
 # Reasons, most specific last.
 BEFORE = "before_region_start"
@@ -31,8 +31,8 @@ def with_region_bounds(panel: DataFrame) -> DataFrame:
 def missing_lag(panel: DataFrame, skip_region: str | None = K.NO_LOAD_REGION) -> DataFrame:
     """Rows whose region has no row exactly 7 days earlier (anti-join on the key)."""
     rows = panel if skip_region is None else drop_region(panel, skip_region)
-    later = rows.select("region", (F.col("time_utc") + WEEK).alias("time_utc"))
-    bounded = with_region_bounds(rows).withColumn("previous_week_time", F.col("time_utc") - WEEK)
+    later = rows.select("region", (F.col("time_utc") + week()).alias("time_utc"))
+    bounded = with_region_bounds(rows).withColumn("previous_week_time", F.col("time_utc") - week())
     return bounded.join(later, KEY, "left_anti")
 
 
@@ -93,7 +93,7 @@ def value_counts(missing: DataFrame, key: Column, name: str, domain: Sequence[st
 def with_lag_presence(panel: DataFrame) -> DataFrame:
     """Rows with a flag whether a non-null load exists exactly 7 days earlier."""
     earlier = panel.select(
-        "region", (F.col("time_utc") + WEEK).alias("time_utc"), F.col("load_mw").alias("__prev")
+        "region", (F.col("time_utc") + week()).alias("time_utc"), F.col("load_mw").alias("__prev")
     )
     return panel.join(earlier, KEY, "left").withColumn("has_previous_week", F.col("__prev").isNotNull()).drop("__prev")
 

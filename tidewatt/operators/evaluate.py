@@ -10,29 +10,30 @@ from pyspark.sql import functions as F
 from tidewatt.functions import scalar as S
 from tidewatt.operators.ordered import pick_one
 
-ACTUAL, PREDICTED = F.col("actual_load_mw"), F.col("predicted_load_mw")
+ACTUAL, PREDICTED = "actual_load_mw", "predicted_load_mw"
 
 
 def clean_predictions(df: DataFrame) -> DataFrame:
     """Numbers and times coerced, rows lacking any of the three dropped; a stored absolute_error is kept."""
     out = (
         df.withColumn("time_utc", F.col("time_utc").try_cast("timestamp"))
-        .withColumn("actual_load_mw", S.coerce_numeric(ACTUAL))
-        .withColumn("predicted_load_mw", S.coerce_numeric(PREDICTED))
+        .withColumn("actual_load_mw", S.coerce_numeric(F.col(ACTUAL)))
+        .withColumn("predicted_load_mw", S.coerce_numeric(F.col(PREDICTED)))
         .dropna(subset=["time_utc", "actual_load_mw", "predicted_load_mw"])
     )
     if "absolute_error" in df.columns:
         return out.withColumn("absolute_error", S.coerce_numeric(F.col("absolute_error")))
-    return out.withColumn("absolute_error", F.abs(PREDICTED - ACTUAL))
+    return out.withColumn("absolute_error", F.abs(F.col(PREDICTED) - F.col(ACTUAL)))
 
 
 def predictions_frame(df: DataFrame) -> DataFrame:
     """Predictions with their four error columns."""
-    return df.withColumns(S.error_columns(ACTUAL, PREDICTED))
+    return df.withColumns(S.error_columns(F.col(ACTUAL), F.col(PREDICTED)))
 
 
-def metric_columns(actual: Column = ACTUAL, predicted: Column = PREDICTED) -> dict[str, Column]:
+def metric_columns(actual: str = ACTUAL, predicted: str = PREDICTED) -> dict[str, Column]:
     """Aggregates of the forecast metrics. MAPE averages over non-zero actuals only."""
+    actual, predicted = F.col(actual), F.col(predicted)
     error = predicted - actual
     return {
         "MSE": F.avg(error * error),
@@ -45,7 +46,7 @@ def metric_columns(actual: Column = ACTUAL, predicted: Column = PREDICTED) -> di
     }
 
 
-def metrics(df: DataFrame, keys: Sequence[str] = (), actual: Column = ACTUAL, predicted: Column = PREDICTED) -> DataFrame:
+def metrics(df: DataFrame, keys: Sequence[str] = (), actual: str = ACTUAL, predicted: str = PREDICTED) -> DataFrame:
     aggs = [c.alias(n) for n, c in metric_columns(actual, predicted).items()]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
@@ -88,10 +89,9 @@ def common_window(df: DataFrame) -> DataFrame:
 
 
 def on_common_window(df: DataFrame) -> DataFrame:
-    # The window is a single row by construction, so broadcasting it is safe.
-    window = F.broadcast(common_window(df))
-    t = F.col("time_utc")
-    return df.join(window, (t >= F.col("common_start")) & (t <= F.col("common_end"))).drop("common_start", "common_end")
+    window = common_window(df)
+    start, end = window.select("common_start").scalar(), window.select("common_end").scalar()
+    return df.where((F.col("time_utc") >= start) & (F.col("time_utc") <= end))
 
 
 def metrics_on_overlap(df: DataFrame) -> DataFrame:
@@ -111,8 +111,8 @@ def metrics_on_overlap(df: DataFrame) -> DataFrame:
 def first_days(df: DataFrame, days: int = 7) -> DataFrame:
     """Rows of the first days of the common window (end included), counted from its first row."""
     common = on_common_window(df)
-    first = F.broadcast(common.agg(F.min("time_utc").alias("__first")))
-    return common.join(first, F.col("time_utc") <= F.col("__first") + F.expr(f"INTERVAL {int(days)} DAYS")).drop("__first")
+    first = common.agg(F.min("time_utc")).scalar()
+    return common.where(F.col("time_utc") <= first + F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
 def mae_by(df: DataFrame, key: Column, name: str) -> DataFrame:
@@ -120,7 +120,7 @@ def mae_by(df: DataFrame, key: Column, name: str) -> DataFrame:
 
 
 def mape_by(df: DataFrame, *keys: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(S.ape_percent(ACTUAL, PREDICTED)).alias("mape"))
+    return df.groupBy(*keys).agg(F.avg(S.ape_percent(F.col(ACTUAL), F.col(PREDICTED))).alias("mape"))
 
 
 def histogram(df: DataFrame, value: Column, bins: int = 60) -> DataFrame:
@@ -194,7 +194,7 @@ def against_baseline(df: DataFrame, baseline: str = "load_pred_mw", predicted: s
 
     require_columns(df, [baseline, predicted])
     both = df.dropna(subset=[baseline, predicted])
-    return metrics(both, actual=F.col(baseline), predicted=F.col(predicted)).where(F.col("MSE").isNotNull())
+    return metrics(both, actual=baseline, predicted=predicted).where(F.col("MSE").isNotNull())
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
@@ -208,7 +208,7 @@ def blend(a: DataFrame, b: DataFrame, weight: float = 0.5, keys: Sequence[str] =
     other = b.select(*keys, F.col("predicted_load_mw").alias("__b"))
     return (
         a.join(other, list(keys))
-        .withColumn("predicted_load_mw", PREDICTED * weight + F.col("__b") * (1 - weight))
+        .withColumn("predicted_load_mw", F.col(PREDICTED) * weight + F.col("__b") * (1 - weight))
         .drop("__b")
     )
 

@@ -19,7 +19,10 @@ from tidewatt.operators.ordered import (
 )
 
 KEY = ["region", "time_utc"]
-WEEK = F.expr("INTERVAL 7 DAYS")
+
+
+def week() -> Column:
+    return F.expr("INTERVAL 7 DAYS")
 
 
 # ---- schema -------------------------------------------------------------------------------
@@ -88,15 +91,15 @@ def hour_spine(spark: SparkSession, start: date, end: date) -> DataFrame:
 
 def region_spine(panel: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
     """Every hour of every day between the panel's first and last day, per region."""
-    span = panel.agg(
-        F.date_trunc("day", F.min("time_utc")).alias("d0"), F.date_trunc("day", F.max("time_utc")).alias("d1")
+    first = panel.agg(F.date_trunc("day", F.min("time_utc"))).scalar()
+    last = panel.agg(F.date_trunc("day", F.max("time_utc"))).scalar()
+    days = panel.select(*keys).distinct().select(
+        *keys, F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("__day")
     )
-    days = span.where("d0 is not null").select(F.explode(F.expr("sequence(d0, d1, interval 1 day)")).alias("day"))
-    hours = days.select(
-        F.explode(F.expr("sequence(day, day + interval 23 hours, interval 1 hour)")).alias("time_utc")
+    return days.select(
+        *keys,
+        F.explode(F.expr("sequence(__day, __day + interval 23 hours, interval 1 hour)")).alias("time_utc"),
     )
-    # One row per hour of the calendar: a proven small side for the region x hour grid.
-    return panel.select(*keys).distinct().join(F.broadcast(hours))
 
 
 def reindex(panel: DataFrame, spine: DataFrame, on: Sequence[str] = KEY) -> DataFrame:
@@ -227,7 +230,7 @@ def dedup_report(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 
 
 def shifted_week(history: DataFrame, value: str = "load_mw", name: str = "load_previous_week") -> DataFrame:
-    return history.select("region", (F.col("time_utc") + WEEK).alias("time_utc"), F.col(value).alias(name))
+    return history.select("region", (F.col("time_utc") + week()).alias("time_utc"), F.col(value).alias(name))
 
 
 def with_week_lag(panel: DataFrame, history: DataFrame | None = None, name: str = "load_previous_week") -> DataFrame:

@@ -133,7 +133,8 @@ def load_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
             .option("pathGlobFilter", f"*_{kind}.csv")
             .csv(folder)
             .select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("__at"))
-            .withColumn("__line", F.monotonically_increasing_id())
+            # Splits of a file order by their start, rows inside a split by their id.
+            .withColumn("__line", F.struct("__at", F.monotonically_increasing_id().alias("id")))
         )
         held = [c for c in columns if c in raw.columns and c != "model"]
         out.append(
