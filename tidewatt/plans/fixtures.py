@@ -118,7 +118,7 @@ def station_weather(spark: SparkSession, folder: str) -> DataFrame:
         events.select(F.col("event_type").alias("region"))
         .distinct()
         .select("region", F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("day"))
-        .select("region", "day", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("bigint").alias("station_id"))
+        .select("region", "day", F.explode(F.expr("sequence(0L, 4L)")).alias("station_id"))
         .select(
             "region",
             "station_id",
@@ -149,7 +149,7 @@ def station_weights(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "events")
         .select(F.col("event_type").alias("region"))
         .distinct()
-        .select("region", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("bigint").alias("station_id"))
+        .select("region", F.explode(F.expr("sequence(0L, 4L)")).alias("station_id"))
         .withColumn("raw_weight", F.col("station_id").cast("double"))
     )
 

@@ -38,7 +38,7 @@ def pack_hourly_json(df: DataFrame, keys: Sequence[str], variables: Sequence[str
     row = F.struct("time_utc", *variables)
     ordered = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     time = F.transform("rows", lambda r: F.date_format(r["time_utc"], "yyyy-MM-dd'T'HH:mm"))
-    columns = [F.transform("rows", lambda r, v=v: r[v]).alias(v) for v in variables]
+    columns = [F.col("rows").getField(v).alias(v) for v in variables]
     hourly = F.struct(time.alias("time"), *columns)
     return ordered.select(
         *keys, F.to_json(F.struct(hourly.alias("hourly")), {"ignoreNullFields": "false"}).alias(payload)
