@@ -143,7 +143,7 @@ def histogram(df: DataFrame, value: Column, bins: int = 60) -> DataFrame:
         .groupBy("model", "lo", "hi", "bin")
         .agg(F.count("*").alias("frequency"))
     )
-    grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint"))
+    grid = span.withColumn("bin", F.explode(F.expr(f"sequence(0L, {bins - 1}L)")))
     return (
         grid.join(binned.select("model", "bin", "frequency"), ["model", "bin"], "left")
         .select(

@@ -178,13 +178,13 @@ def stations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# ---- F4: predictions of several models ----------------------------------------------------
+# ---- F4: predictions of several models, in whole megawatts so that sums are exact ---------
 
 PREDICTIONS = """predictions as (
   select l_returnflag || l_linestatus as model, cast(l_linenumber as varchar) as region,
          l_shipdate + to_hours(cast(l_suppkey % 24 as int)) as time_utc,
-         case when l_linenumber = 7 then 0.0 else l_extendedprice end as actual_load_mw,
-         l_extendedprice * (1 - l_discount + l_tax) as predicted_load_mw,
+         case when l_linenumber = 7 then 0.0 else floor(l_extendedprice) end as actual_load_mw,
+         floor(l_extendedprice * (1 - l_discount + l_tax)) as predicted_load_mw,
          l_orderkey as ord
   from lineitem)"""
 
@@ -195,8 +195,8 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("model"),
         F.col("l_linenumber").cast("string").alias("region"),
         at.alias("time_utc"),
-        F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.col("l_extendedprice")).alias("actual_load_mw"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount") + F.col("l_tax"))).alias("predicted_load_mw"),
+        F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.floor("l_extendedprice").cast("double")).alias("actual_load_mw"),
+        F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount") + F.col("l_tax"))).cast("double").alias("predicted_load_mw"),
         F.col("l_orderkey").alias("ord"),
     )
 
