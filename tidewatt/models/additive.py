@@ -14,7 +14,7 @@ from tidewatt.functions import scalar as S
 from tidewatt.models import basis as B
 from tidewatt.models.features import require_known_regions, with_row_lags
 from tidewatt.models.gram import dot, gram, grams_by, solve_by
-from tidewatt.models.preprocess import fit_imputer, levels, with_region_code
+from tidewatt.models.preprocess import cached, fit_imputer, levels, with_region_code
 
 
 @dataclass
@@ -147,8 +147,9 @@ def fit_additive(train: DataFrame, n_splines: int = 25, lam: float = 0.6) -> Add
 def fit_additive_split(train: DataFrame, valid: DataFrame, **kw) -> tuple[AdditiveModel, DataFrame]:
     """Row lags over both splits, regions checked, model fitted; returns it with the lagged validation rows."""
     lagged_train, lagged_valid = with_row_lags(train, valid)
-    require_known_regions(lagged_train, lagged_valid)
-    return fit_additive(lagged_train, **kw), lagged_valid
+    with cached(lagged_train) as rows:
+        require_known_regions(rows, lagged_valid)
+        return fit_additive(rows, **kw), lagged_valid
 
 
 def fit_additive_by_hour(train: DataFrame, valid: DataFrame, n_splines: int = 20, lam: float = 0.6) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatt import constants as K
 from tidewatt.functions import scalar as S
-from tidewatt.models.preprocess import fit_imputer, fit_onehot, fit_scaler, levels
+from tidewatt.models.preprocess import fit_imputer, fit_onehot, fit_scaler, level_counts, levels, most_frequent
 from tidewatt.operators import panel as P
 from tidewatt.operators.ordered import over_lookback
 
@@ -75,11 +75,15 @@ def fit_features(train: DataFrame, numeric: Sequence[str] | None = None) -> Call
     """
     columns = [c for c in (numeric or NUMERIC) if c in train.columns]
     typed = train.withColumns({c: F.col(c).cast("double") for c in columns})
-    impute = fit_imputer(typed, columns, ["region"])
-    scale = fit_scaler(impute(typed), columns)
-    onehot = fit_onehot(train, "region")
-    known = [f"region_{v}" for v in levels(train, "region")]
-    assembler = VectorAssembler(inputCols=[f"__f_{c}" for c in columns] + known, outputCol="features")
+    numbers = fit_imputer(typed, columns)
+    scale = fit_scaler(numbers(typed), columns)
+    counts = level_counts(train, "region")
+    known, usual = sorted(counts), most_frequent(counts)
+    onehot = fit_onehot(train, "region", known)
+    impute = lambda df: numbers(df.na.fill({"region": usual}) if usual is not None else df)
+    assembler = VectorAssembler(
+        inputCols=[f"__f_{c}" for c in columns] + [f"region_{v}" for v in known], outputCol="features"
+    )
 
     def transform(df: DataFrame) -> DataFrame:
         source = {c: (F.col(c) if c in df.columns else F.lit(0)).cast("double") for c in columns}

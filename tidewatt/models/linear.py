@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatt.models.features import fit_features
 from tidewatt.models.gram import dot, gram
+from tidewatt.models.preprocess import cached
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -29,24 +30,25 @@ def fit_ridge(train: DataFrame, target: str = "load_mw", alpha: float = 10.0) ->
     """
 
     def penalty(df: DataFrame) -> float:
-        row = df.agg(F.stddev_samp(target).alias("s"), F.stddev_pop(target).alias("p"), F.count(target).alias("n")).first()
+        row = df.agg(F.stddev_pop(target).alias("p"), F.count(target).alias("n")).first()
         return alpha * row["p"] / row["n"]
 
     return _fit(train, target, penalty)
 
 
 def _fit(train: DataFrame, target: str, penalty) -> Predict:
-    features = fit_features(train)
-    ready = features(train)
-    model = LinearRegression(
-        featuresCol="features",
-        labelCol=target,
-        predictionCol="predicted_load_mw",
-        regParam=penalty(ready),
-        elasticNetParam=0.0,
-        standardization=False,
-        solver="normal",
-    ).fit(ready)
+    with cached(train) as rows:
+        features = fit_features(rows)
+        ready = features(rows)
+        model = LinearRegression(
+            featuresCol="features",
+            labelCol=target,
+            predictionCol="predicted_load_mw",
+            regParam=penalty(rows),
+            elasticNetParam=0.0,
+            standardization=False,
+            solver="normal",
+        ).fit(ready)
     return lambda df: model.transform(features(df)).drop("features")
 
 
@@ -64,12 +66,12 @@ def fit_eps_insensitive(
     normal equations; each step is one aggregate over the rows and a solve of
     the size of the feature list.
     """
-    features = fit_features(train)
-    rows = features(train).select(
+    with cached(train) as kept:
+        features = fit_features(kept)
+    design = features(train).select(
         F.concat(vector_to_array("features"), F.array(F.lit(1.0))).alias("x"), F.col(target).cast("double").alias("y")
     )
-    rows = rows.persist()
-    try:
+    with cached(design) as rows:
         start = gram(rows)
         size = start.xtx.shape[0]
         weights = np.linalg.solve(start.xtx + np.eye(size), start.xty)
@@ -81,8 +83,6 @@ def fit_eps_insensitive(
             weights = new
             if moved <= tolerance * max(1.0, float(np.abs(weights).max())):
                 break
-    finally:
-        rows.unpersist()
     coefficients = [float(w) for w in weights]
 
     def predict(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +15,34 @@ Transform = Callable[[DataFrame], DataFrame]
 MAX_LEVELS = 10_000
 
 
-def levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list[str]:
-    """Sorted distinct values of a category; too many of them is an error and not a driver problem."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(limit + 1).collect()
+def level_counts(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> dict[str, int]:
+    """Rows per value of a category; too many values is an error and not a driver problem."""
+    rows = df.where(F.col(column).isNotNull()).groupBy(column).count().limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} levels")
-    return sorted(r[0] for r in rows)
+    return {r[column]: r["count"] for r in rows}
+
+
+def levels(df: DataFrame, column: str) -> list[str]:
+    return sorted(level_counts(df, column))
+
+
+def most_frequent(counts: dict[str, int]) -> str | None:
+    """The value with most rows; ties go to the smallest."""
+    return min(counts, key=lambda v: (-counts[v], v)) if counts else None
+
+
+@contextmanager
+def cached(df: DataFrame):
+    """`df` kept for the several passes of a fit, and let go afterwards."""
+    if df.is_cached:
+        yield df
+        return
+    kept = df.persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
 
 
 def region_codes(df: DataFrame, column: str = "region", name: str = "region_code") -> DataFrame:
@@ -37,8 +60,7 @@ def fit_imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
     """Exact medians for numbers, most frequent value (ties: smallest) for categories."""
     fill: dict = exact_medians(train, numeric)
     for c in categorical:
-        top = train.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-        fill[c] = None if top is None else top[c]
+        fill[c] = most_frequent(level_counts(train, c))
     fill = {c: v for c, v in fill.items() if v is not None}
     return lambda df: df.na.fill({c: v for c, v in fill.items() if c in df.columns})
 
@@ -57,9 +79,9 @@ def fit_scaler(train: DataFrame, numeric: Sequence[str]) -> Transform:
     return lambda df: df.withColumns({c: scaled(i, c) for i, c in enumerate(numeric)})
 
 
-def fit_onehot(train: DataFrame, column: str) -> Transform:
+def fit_onehot(train: DataFrame, column: str, known: Sequence[str] | None = None) -> Transform:
     """One indicator per training level; an unknown level is all zeros."""
-    known = levels(train, column)
+    known = levels(train, column) if known is None else known
     return lambda df: df.withColumns(
         {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in known}
     )

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame
 
 from tidewatt.models.features import fit_features
 from tidewatt.models.linear import Predict
+from tidewatt.models.preprocess import cached
 
 MAX_DEPTH = 30  # Fixed value: the deepest tree Spark ML grows.
 
 
 def _fit(train: DataFrame, estimator) -> Predict:
-    features = fit_features(train)
-    model = estimator.fit(features(train))
+    with cached(train) as rows:
+        features = fit_features(rows)
+        model = estimator.fit(features(rows))
     return lambda df: model.transform(features(df)).drop("features")
 
 

@@ -71,9 +71,12 @@ PARTS = """parts as (
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
+    return parts_of(table(spark, folder, "events"))
+
+
+def parts_of(events: DataFrame) -> DataFrame:
     return (
-        table(spark, folder, "events")
-        .groupBy(
+        events.groupBy(
             (F.col("event_id") % 2).cast("int").alias("part_no"),
             F.col("event_type").alias("region"),
             hour_of().alias("time_utc"),

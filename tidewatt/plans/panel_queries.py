@@ -668,3 +668,15 @@ def _(spark, sf):
     return valid.select(
         "region", "time_utc", F.round(scaled, 6).alias("scaled"), F.round(scale.invert(scaled), 4).alias("restored")
     )
+
+
+@query(
+    "clean_panel_coverage",
+    f"""with {X.LAGGED}, u as (select * from lagged where load_mw is not null and load_previous_week is not null)
+        select region, min(time_utc) as first_time_utc, max(time_utc) as last_time_utc, count(*) as rows,
+        count(*) filter (load_mw is null) as missing_load_rows from u group by region""",
+)
+def _(spark, sf):
+    from tidewatt.plans.flagship import clean_panel_coverage
+
+    return clean_panel_coverage(spark, sf)
