@@ -77,11 +77,14 @@ def run_month(revised: DataFrame, name: str, month: str, **kw) -> tuple[DataFram
         )
     )
     start, following, end = P.month_bounds(month)
-    rows = E.metrics(predictions).select(
+    measured = predictions.agg(
+        F.count("*").alias("validation_rows_scored"), *[c.alias(n) for n, c in E.metric_columns().items()]
+    )
+    rows = measured.select(
         F.lit(name).alias("model"),
         F.lit(month).alias("predict_month"),
         F.lit(data.train.count()).alias("train_rows_used"),
-        F.lit(predictions.count()).alias("validation_rows_scored"),
+        "validation_rows_scored",
         P.utc_lit(end).alias("training_end_time"),
         P.utc_lit(start).alias("validation_start_time"),
         P.utc_lit(following - P.timedelta(seconds=1)).alias("validation_end_time"),
@@ -110,26 +113,23 @@ def backtest(
 ) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """Every model on every month, expanding window; finished pairs are skipped.
 
-    Results go to `folder`, partitioned by (model, month), so that a lost
-    driver resumes where it stopped. A failed pair is reported and the rest
+    `revised` is read several times per run, so pass a written table. Results
+    go to `folder`, partitioned by (model, month), so that a lost driver
+    resumes where it stopped. A failed pair is reported and the rest
     go on. Returns the metrics table and the failures.
     """
     spark = revised.sparkSession
     done = finished_runs(spark, folder)
     failures = []
-    base = revised.persist()
-    try:
-        for month in months:
-            for name, params in models.items():
-                if (name, month) in done:
-                    continue
-                try:
-                    predictions, metrics = run_month(base, name, month, **params)
-                    write_run(predictions, metrics, folder, name, month)
-                except ValueError as error:
-                    failures.append((name, month, str(error)))
-    finally:
-        base.unpersist()
+    for month in months:
+        for name, params in models.items():
+            if (name, month) in done:
+                continue
+            try:
+                predictions, metrics = run_month(revised, name, month, **params)
+                write_run(predictions, metrics, folder, name, month)
+            except ValueError as error:
+                failures.append((name, month, str(error)))
     if len(failures) == len(models) * len(months):
         raise ValueError(f"Every run failed: {failures[:3]}")
     return spark.read.parquet(f"{folder}/metrics"), failures

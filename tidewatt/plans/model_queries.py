@@ -13,7 +13,7 @@ from tidewatt.models.features import month_data
 from tidewatt.operators import panel as P
 from tidewatt.plans import fixtures as X
 from tidewatt.plans.registry import query
-from tidewatt.session import shared_dir
+from tidewatt.session import materialize, shared_dir
 
 MONTH = "2025-06"
 OUT = ["region", "time_utc", "load_mw", "predicted_load_mw"]
@@ -80,8 +80,13 @@ def _(spark, sf):
 # ---- fits ---------------------------------------------------------------------------------
 
 
+def revised(spark, sf):
+    """The feature table, written once: every fit takes several passes over it."""
+    return materialize(X.demand(spark, sf), "demand")
+
+
 def data(spark, sf):
-    return month_data(X.demand(spark, sf), MONTH)
+    return month_data(revised(spark, sf), MONTH)
 
 
 @query("fit_linear")
@@ -150,7 +155,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = f"{shared_dir(spark)}/backtest-{uuid.uuid4().hex}"
     metrics, _ = backtest.backtest(
-        X.demand(spark, sf), {"ridge": {"alpha": 10.0}, "seasonal": {}}, ["2025-06", "2025-07"], folder
+        revised(spark, sf), {"ridge": {"alpha": 10.0}, "seasonal": {}}, ["2025-06", "2025-07"], folder
     )
     return metrics
 
@@ -158,7 +163,7 @@ def _(spark, sf):
 @query("score_next_day")
 def _(spark, sf):
     """The last day of the demand table stands in for the next day."""
-    demand = X.demand(spark, sf)
+    demand = revised(spark, sf)
     cut = P.datetime(2026, 6, 30, 23, 59, 59)
     history, ahead = P.cutoff_split(demand, cut)
     upcoming = ahead.withColumn("load_pred_mw", F.when(F.hour("time_utc") > 6, F.col("load_mw"))).drop("load_mw")
