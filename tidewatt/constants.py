@@ -39,15 +39,7 @@ DATE_HEADER_NAMES = ["date", "opr_dt", "opr date", "trading date", "trade date",
 HOUR_HEADER_NAMES = ["hr", "hour", "opr_hr", "he", "hour ending", "he hour"]
 HEADER_SCAN_ROWS = 80
 
-# Area names known to the actual-load feed.
-AREA_NAMES = {
-    "caiso": ["caiso", "caiso tac", "caiso-tac"],
-    "pge": ["pge", "pge tac", "pge-tac", "pg&e", "pg&e tac", "pg&e-tac"],
-    "sce": ["sce", "sce tac", "sce-tac"],
-    "sdge": ["sdge", "sdge tac", "sdge-tac", "sdg&e", "sdg&e tac", "sdg&e-tac"],
-    "vea": ["vea", "vea tac", "vea-tac"],
-    "mwd": ["mwd", "mwd tac", "mwd-tac"],
-}
+# How area names of the actual-load feed start, and words that mean the total.
 AREA_PREFIXES = {
     "pge": ["pge", "pg&e"],
     "sce": ["sce"],

@@ -7,7 +7,6 @@ a Saturday are observed on Friday and on a Sunday on Monday.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,14 +83,14 @@ def holiday_dates(years: DataFrame, rules: list[Holiday]) -> DataFrame:
     return years.select(F.explode(entries).alias("e")).select("e.day", "e.holiday").where("day is not null")
 
 
-def panel_years(panel: DataFrame, ts: str = "time_utc") -> DataFrame:
-    """Years of the panel's span, one on each side: an observed New Year falls in the year before."""
-    span = panel.agg(F.year(F.min(ts)).alias("a"), F.year(F.max(ts)).alias("b")).where("a is not null")
-    return span.select(F.explode(F.sequence(F.col("a") - 1, F.col("b") + 1)).alias("year"))
+# The years a nanosecond timestamp can hold.
+FIRST_YEAR, LAST_YEAR = 1677, 2262
 
 
-def years_between(spark: SparkSession, start: date, end: date) -> DataFrame:
-    return spark.range(start.year - 1, end.year + 2).select(F.col("id").cast("int").alias("year"))
+def holiday_table(spark: SparkSession, rules: list[Holiday]) -> DataFrame:
+    """(day, holiday) of every year: a few thousand rows, bounded by the calendar and not by the data."""
+    years = spark.range(FIRST_YEAR, LAST_YEAR + 1, 1, 1).select(F.col("id").cast("int").alias("year"))
+    return holiday_dates(years, rules)
 
 
 def holidays_in_span(panel: DataFrame, rules: list[Holiday], ts: str = "time_utc", exact_bounds: bool = False) -> DataFrame:
@@ -100,19 +99,24 @@ def holidays_in_span(panel: DataFrame, rules: list[Holiday], ts: str = "time_utc
     With `exact_bounds` a holiday counts only if its midnight is inside the
     span, which loses a holiday on a first day that starts later.
     """
-    lo = panel.agg(F.min(ts) if exact_bounds else F.date_trunc("day", F.min(ts))).scalar()
-    hi = panel.agg(F.max(ts)).scalar()
+    bounds = panel.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    lo = bounds.select("lo" if exact_bounds else F.date_trunc("day", "lo")).scalar()
+    hi = bounds.select("hi").scalar()
     at = F.col("day").cast("timestamp")
-    return holiday_dates(panel_years(panel, ts), rules).where((at >= lo) & (at <= hi))
+    return holiday_table(panel.sparkSession, rules).where((at >= lo) & (at <= hi))
 
 
 def with_holiday_flag(panel: DataFrame, rules: list[Holiday], name: str, ts: str = "time_utc", exact_bounds: bool = False) -> DataFrame:
-    """0/1 flag whether the row's UTC day is a holiday.
+    """0/1 flag whether the row's UTC day is a holiday, by a broadcast of the date table.
 
-    The date table has at most a dozen rows per calendar year, so broadcasting
-    it is bounded by the calendar and not by the data.
+    Rows always lie inside their own span, so the panel's bounds matter only
+    for `exact_bounds` and are not computed otherwise.
     """
-    days = holidays_in_span(panel, rules, ts, exact_bounds).select(F.col("day").alias("__day")).distinct()
+    if exact_bounds:
+        listed = holidays_in_span(panel, rules, ts, exact_bounds)
+    else:
+        listed = holiday_table(panel.sparkSession, rules)
+    days = listed.select(F.col("day").alias("__day")).distinct()
     return (
         panel.join(F.broadcast(days), F.to_date(ts) == F.col("__day"), "left")
         .withColumn(name, F.col("__day").isNotNull().cast("int"))

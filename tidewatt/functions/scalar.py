@@ -151,21 +151,16 @@ def canonical_header(text: Column) -> Column:
 
 
 def area_to_region(name: Column) -> Column:
-    """Region of an area name: exact, then with dashes for spaces, then by prefix."""
-    clean = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[_/]+", " "), r"\s+", " ")
-    table = {alias: region for region, aliases in K.AREA_NAMES.items() for alias in aliases}
-    by_prefix = F.lit(None).cast("string")
-    for region, prefixes in reversed(K.AREA_PREFIXES.items()):
-        starts = F.lit(False)
-        for prefix in prefixes:
-            starts = starts | clean.startswith(prefix)
-        by_prefix = F.when(starts, F.lit(region)).otherwise(by_prefix)
-    return F.coalesce(
-        lookup(table, clean),
-        lookup(table, F.replace(clean, F.lit(" "), F.lit("-"))),
-        by_prefix,
-        F.when(clean.isin(K.TOTAL_AREA_WORDS), F.lit(K.TOTAL_REGION)),
-    )
+    """Region of an area name by its prefix, or the total for one of the total's words; else null.
+
+    Every known full name starts with its region's prefix, so one pattern and
+    one lookup settle all of them.
+    """
+    table = {prefix: region for region, prefixes in K.AREA_PREFIXES.items() for prefix in prefixes}
+    table.update({word: K.TOTAL_REGION for word in K.TOTAL_AREA_WORDS})
+    words = "|".join(K.TOTAL_AREA_WORDS)
+    prefixes = "|".join(p for ps in K.AREA_PREFIXES.values() for p in ps)
+    return lookup(table, F.regexp_extract(F.lower(F.trim(name)), f"^({prefixes}|(?:{words})$)", 1))
 
 
 # ---- forecast errors ----------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatt import constants as K
 from tidewatt.models import basis as B
 from tidewatt.models.gram import dot, grams_by, solve_by
+from tidewatt.operators.ordered import join_small
 from tidewatt.operators.quantiles import exact_medians_by
 
 HINGES = 25
@@ -34,8 +35,6 @@ def fit_seasonal_by_region(
     names = [c for c in (regressors or K.SEASONAL_REGRESSORS) if c in train.columns]
     typed = train.withColumns({c: F.col(c).cast("double") for c in names})
     medians = exact_medians_by(typed, "region", names)
-    filled = typed.select("*")
-
     def fill(df: DataFrame) -> DataFrame:
         out = {}
         for c in names:
@@ -46,7 +45,6 @@ def fit_seasonal_by_region(
         return df.withColumns(out)
 
     filled = fill(typed)
-    # One row per region: joined by size, not forced to broadcast.
     stats = filled.groupBy("region").agg(
         F.min(days()).alias("__d0"),
         F.max(days()).alias("__d1"),
@@ -56,7 +54,7 @@ def fit_seasonal_by_region(
     )
 
     def design(df: DataFrame) -> DataFrame:
-        joined = fill(df).join(stats, "region", "left")
+        joined = join_small(fill(df), stats, ["region"], "left")
         t = (days() - F.col("__d0")) / F.greatest(F.col("__d1") - F.col("__d0"), F.lit(1e-9))
         scaled = [
             F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c in names
@@ -81,7 +79,7 @@ def fit_seasonal_by_region(
     betas = solve_by(grams_by(rows, F.col("region")), np.diag(ridge)).select(F.col("key").alias("region"), "beta")
 
     def predict(df: DataFrame) -> DataFrame:
-        scored = design(df).join(betas, "region", "left")
+        scored = join_small(design(df), betas, ["region"], "left")
         value = dot(F.col("x"), F.col("beta")) * F.col("__scale")
         return scored.withColumn(
             "predicted_load_mw", F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatt.functions import scalar as S
-from tidewatt.operators.ordered import pick_one
+from tidewatt.operators.ordered import join_small, pick_one
 
 ACTUAL, PREDICTED = "actual_load_mw", "predicted_load_mw"
 
@@ -138,7 +138,7 @@ def histogram(df: DataFrame, value: Column, bins: int = 60) -> DataFrame:
     )
     width = (F.col("hi") - F.col("lo")) / bins
     binned = (
-        valued.join(span, "model")
+        join_small(valued, span, ["model"])
         .withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("__v") - F.col("lo")) / width)))
         .groupBy("model", "lo", "hi", "bin")
         .agg(F.count("*").alias("frequency"))

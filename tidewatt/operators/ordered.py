@@ -24,14 +24,30 @@ def day_chunk(ts: str = "time_utc") -> Column:
     return F.date_trunc("day", F.col(ts))
 
 
-def attach_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Group aggregates joined back onto the rows.
+SMALL_SIDE_ROWS = 100_000
+
+
+def join_small(
+    left: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = SMALL_SIDE_ROWS
+) -> DataFrame:
+    """Join with a side that is expected, but not known, to be small.
 
-    The aggregate is combined map-side and has one row per group; the join is
-    left to the planner, which broadcasts it only when its measured size allows.
+    The planner cannot see that a few groups remain of a huge table and would
+    shuffle the big side by a handful of hot keys. So the side is fetched up to
+    `limit` rows: within it, it becomes a local table that broadcasts; beyond
+    it, the plain join stays, with adaptive skew handling.
     """
+    fetched = small.limit(limit + 1).toArrow()
+    if fetched.num_rows > limit:
+        return left.join(small, list(keys), how)
+    local = small.sparkSession.createDataFrame(fetched.to_pylist(), small.schema)
+    return left.join(F.broadcast(local), list(keys), how)
+
+
+def attach_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+    """Group aggregates (combined map-side) joined back onto the rows."""
     stats = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
-    return df.join(stats, list(keys), "left")
+    return join_small(df, stats, keys, "left")
 
 
 def with_running_counts(

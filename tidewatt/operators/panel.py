@@ -91,11 +91,11 @@ def hour_spine(spark: SparkSession, start: date, end: date) -> DataFrame:
 
 def region_spine(panel: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
     """Every hour of every day between the panel's first and last day, per region."""
-    first = panel.agg(F.date_trunc("day", F.min("time_utc"))).scalar()
-    last = panel.agg(F.date_trunc("day", F.max("time_utc"))).scalar()
-    days = panel.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("__day")
-    )
+    # The bounds come from the same per-region aggregate, so the panel is read once.
+    spans = panel.groupBy(*keys).agg(F.min("time_utc").alias("__lo"), F.max("time_utc").alias("__hi"))
+    first = spans.agg(F.date_trunc("day", F.min("__lo"))).scalar()
+    last = spans.agg(F.date_trunc("day", F.max("__hi"))).scalar()
+    days = spans.select(*keys, F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("__day"))
     return days.select(
         *keys,
         F.explode(F.expr("sequence(__day, __day + interval 23 hours, interval 1 hour)")).alias("time_utc"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatt import constants as K
 from tidewatt.functions import scalar as S
-from tidewatt.operators.ordered import pick_one, top_rows
+from tidewatt.operators.ordered import join_small, pick_one, top_rows
 from tidewatt.operators.reconcile import coalesce_parts
 
 SHEET = ["workbook", "sheet"]
@@ -45,36 +45,46 @@ def header_names(cells: DataFrame) -> DataFrame:
     ).select(*SHEET, F.col("pos").alias("position"), F.col("col.raw").alias("raw"), F.col("col.canonical").alias("canonical"))
 
 
-def _cell(name: str) -> Column:
-    """The row's cell under the header called `name`, null when there is none."""
-    at = F.coalesce(F.array_position("names", name), F.lit(0))
-    return F.when(at > 0, F.try_element_at("cells", at.cast("int")))
+def _position(name: str) -> Column:
+    """1-based place of a canonical name in the header, null when it has none."""
+    at = F.array_position("names", name)
+    return F.when(at > 0, at.cast("int"))
 
 
 def sheet_rows(cells: DataFrame, regions: Sequence[str] = tuple(K.REGIONS)) -> DataFrame:
-    """Body rows with a readable date and hour, their UTC hour and load columns."""
-    body = cells.join(find_header(cells).select(*SHEET, "header_row", "names"), SHEET).where("row_idx > header_row")
+    """Body rows with a readable date and hour, their UTC hour and load columns.
+
+    Positions are settled once per sheet; a body row only picks its cells.
+    """
+    named = find_header(cells)
+    layout = named.select(
+        *SHEET,
+        "header_row",
+        _load_columns(regions).alias("load_cols"),
+        *[_position(c).alias(f"at_{c}") for c in ("date", "hr", *regions)],
+    )
+    body = join_small(cells, layout, SHEET).where("row_idx > header_row")
+    cell = lambda c: F.try_element_at("cells", F.col(f"at_{c}"))
     read = body.select(
         *SHEET,
         "row_idx",
-        "names",
-        S.coerce_date(_cell("date")).alias("day"),
-        S.coerce_numeric(_cell("hr")).cast("int").alias("hr"),
-        *[S.coerce_numeric(_cell(r)).alias(r) for r in regions],
+        "load_cols",
+        S.coerce_date(cell("date")).alias("day"),
+        S.coerce_numeric(cell("hr")).cast("int").alias("hr"),
+        *[S.coerce_numeric(cell(r)).alias(r) for r in regions],
     ).where("day is not null and hr is not null")
     return read.withColumn("time_utc", S.hour_ending_to_utc(F.col("day"), F.col("hr")))
 
 
 def _load_columns(regions: Sequence[str]) -> Column:
-    held = F.filter(F.array(*[F.lit(r) for r in regions]), lambda r: F.array_contains("names", r))
-    return held
+    return F.filter(F.array(*[F.lit(r) for r in regions]), lambda r: F.array_contains("names", r))
 
 
 def parse_sheets(cells: DataFrame, regions: Sequence[str] = tuple(K.REGIONS)) -> DataFrame:
     """Hourly load of each sheet that names load columns; the first row of an hour stays."""
-    rows = sheet_rows(cells, regions).where(F.size(_load_columns(regions)) > 0)
+    rows = sheet_rows(cells, regions).where(F.size("load_cols") > 0)
     return pick_one(rows, [*SHEET, "time_utc"], [F.col("row_idx")]).select(
-        *SHEET, "time_utc", F.size(_load_columns(regions)).alias("n_load_cols"), *regions
+        *SHEET, "time_utc", F.size("load_cols").alias("n_load_cols"), *regions
     )
 
 
@@ -90,7 +100,7 @@ def merge_workbooks(cells: DataFrame, regions: Sequence[str] = tuple(K.REGIONS),
     """Load by hour over all workbooks: the best sheet of each, first non-null in workbook order."""
     parsed = parse_sheets(cells, regions)
     best = best_sheets(parsed).select(*SHEET)
-    return coalesce_parts(parsed.join(best, SHEET), regions, "workbook", ["time_utc"], prefer)
+    return coalesce_parts(join_small(parsed, best, SHEET), regions, "workbook", ["time_utc"], prefer)
 
 
 def sheet_audit(cells: DataFrame, regions: Sequence[str] = tuple(K.REGIONS)) -> DataFrame:
