@@ -100,8 +100,7 @@ def coerce_date(text: Column) -> Column:
 
 def coerce_numeric(text: Column) -> Column:
     """Number or null; NaN counts as missing."""
-    number = text.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
 
 
 # ---- weather ------------------------------------------------------------------------------

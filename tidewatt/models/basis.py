@@ -9,50 +9,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _bump(t: Column) -> Column:
-    """Cubic B-spline on unit-spaced knots 0..4."""
-    return (
-        F.when((t < 0) | (t >= 4), 0.0)
-        .when(t < 1, t * t * t / 6.0)
-        .when(t < 2, (((t * -3.0 + 12.0) * t - 12.0) * t + 4.0) / 6.0)
-        .when(t < 3, (((t * 3.0 - 24.0) * t + 60.0) * t - 44.0) / 6.0)
-        .otherwise((4.0 - t) * (4.0 - t) * (4.0 - t) / 6.0)
-    )
+def _weights(f: Column) -> list[Column]:
+    """The four cubic B-splines that overlap a unit cell, at position f in it."""
+    g = 1.0 - f
+    return [
+        g * g * g / 6.0,
+        ((f * 3.0 - 6.0) * f * f + 4.0) / 6.0,
+        (((f * -3.0 + 3.0) * f + 3.0) * f + 1.0) / 6.0,
+        f * f * f / 6.0,
+    ]
 
 
-def _bump_slope(t: Column) -> Column:
-    return (
-        F.when((t < 0) | (t >= 4), 0.0)
-        .when(t < 1, t * t / 2.0)
-        .when(t < 2, ((t * -9.0 + 24.0) * t - 12.0) / 6.0)
-        .when(t < 3, ((t * 9.0 - 48.0) * t + 60.0) / 6.0)
-        .otherwise((4.0 - t) * (4.0 - t) / -2.0)
-    )
+def _slopes(f: Column) -> list[Column]:
+    g = 1.0 - f
+    return [g * g / -2.0, (f * 9.0 - 12.0) * f / 6.0, ((f * -9.0 + 6.0) * f + 3.0) / 6.0, f * f / 2.0]
 
 
-def _indices(n: int) -> Column:
-    return F.array(*[F.lit(float(j)) for j in range(n)])
+def _zeros(n: Column) -> Column:
+    return F.array_repeat(F.lit(0.0), n.cast("int"))
 
 
 def spline_basis(x: Column, lo: Column | float, hi: Column | float, n: int) -> Column:
-    """n cubic B-splines on even knots over [lo, hi]; straight-line continuation outside."""
+    """n cubic B-splines on even knots over [lo, hi]; straight-line continuation outside.
+
+    Only four of them differ from zero at any point, so the array is those four
+    between two runs of zeros.
+    """
     lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
     step = F.when(hi > lo, (hi - lo) / float(n - 3)).otherwise(1.0)
     u = (x - lo) / step
-    inside = F.least(F.greatest(u, F.lit(0.0)), F.lit(float(n - 3)))
-    return F.transform(
-        _indices(n), lambda j: _bump(inside - j + 3.0) + _bump_slope(inside - j + 3.0) * (u - inside)
-    )
+    inside = F.when(u.isNotNull(), F.least(F.greatest(u, F.lit(0.0)), F.lit(float(n - 3))))
+    cell = F.least(F.floor(inside), F.lit(n - 4))
+    f, beyond = inside - cell, u - inside
+    four = F.array(*[w + s * beyond for w, s in zip(_weights(f), _slopes(f))])
+    return F.concat(_zeros(cell), four, _zeros(F.lit(n - 4) - cell))
 
 
 def cyclic_basis(x: Column, lo: float, hi: float, n: int) -> Column:
     """n cubic B-splines that wrap from hi back to lo."""
-    u = (x - lo) / ((hi - lo) / n)
-    return F.transform(_indices(n), lambda j: _bump(F.pmod(u - j, F.lit(float(n)))))
+    u = F.pmod((x - lo) / ((hi - lo) / n), F.lit(float(n)))
+    cell = F.floor(u)
+    run = F.concat(F.array(*_weights(u - cell)), _zeros(F.lit(n - 4)))
+    turn = F.pmod(cell - 3, F.lit(n)).cast("int")
+    return F.concat(F.slice(run, F.lit(n + 1) - turn, turn), F.slice(run, F.lit(1), F.lit(n) - turn))
 
 
 def one_hot(code: Column, n: int) -> Column:
-    return F.transform(_indices(n), lambda j: F.when(code == j, 1.0).otherwise(0.0))
+    """n indicators, all zero for a code outside 0..n-1."""
+    hit = (code >= 0) & (code < n)
+    return F.when(
+        hit, F.concat(_zeros(code), F.array(F.lit(1.0)), _zeros(F.lit(n - 1) - code))
+    ).otherwise(F.array_repeat(F.lit(0.0), n))
 
 
 def fourier(days: Column, period: float, order: int) -> Column:

@@ -113,8 +113,8 @@ def _sum_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def grams_by(df: DataFrame, key: Column, prepare: Prepare | None = None) -> DataFrame:
-    """One packed Gram per key from rows with `x` (array) and `y`; rows with a null y drop."""
-    rows = df.where("y is not null").select(key.cast("string").alias("key"), "x", "y")
+    """One packed Gram per key from rows with `x` (array) and `y`; rows lacking either drop."""
+    rows = df.where("x is not null and y is not null").select(key.cast("string").alias("key"), "x", "y")
     partial = rows.mapInArrow(_partials(prepare), PARTIAL)
     rounds = partial.withColumn("task", (F.col("task") % FAN_IN).cast("int"))
     halfway = rounds.groupBy("key", "task").applyInPandas(_sum_group, PARTIAL)

@@ -78,10 +78,9 @@ def with_running_counts(
         "*", *[F.count_if(cond).over(within).alias(f"__l_{name}") for name, cond in counts.items()]
     )
     # `local` is already hashed by (keys, chunk); only the offsets move.
-    joined = local.join(offsets, [*keys, "__chunk"])
-    return joined.select(
-        *df.columns, *[(F.col(f"__l_{name}") + F.col(f"__o_{name}")).alias(name) for name in counts]
-    )
+    joined = local.join(offsets, [*keys, "__chunk"], "left")
+    total = lambda name: F.col(f"__l_{name}") + F.coalesce(f"__o_{name}", F.lit(0))
+    return joined.select(*df.columns, *[total(name).alias(name) for name in counts])
 
 
 def with_ordinal(
