@@ -56,7 +56,7 @@ def cyclic_basis(x: Column, lo: float, hi: float, n: int) -> Column:
 
 def one_hot(code: Column, n: int) -> Column:
     """n indicators, all zero for a code outside 0..n-1."""
-    hit = (code >= 0) & (code < n)
+    hit = (code >= 0) & (code < n) & (code == F.floor(code))
     return F.when(
         hit, F.concat(_zeros(code), F.array(F.lit(1.0)), _zeros(F.lit(n - 1) - code))
     ).otherwise(F.array_repeat(F.lit(0.0), n))

@@ -71,7 +71,9 @@ def require_known_regions(train: DataFrame, valid: DataFrame) -> list[str]:
 def fit_features(train: DataFrame, numeric: Sequence[str] | None = None) -> Callable[[DataFrame], DataFrame]:
     """Impute, scale and one-hot on the training rows; the result maps rows to a `features` vector.
 
-    Columns a frame lacks at scoring time count as zero.
+    Columns a frame lacks at scoring time count as zero. Columns that are
+    constant over the training rows stay out of the vector: no model here
+    gives them weight, and they would make the normal equations singular.
     """
     columns = [c for c in (numeric or NUMERIC) if c in train.columns]
     typed = train.withColumns({c: F.col(c).cast("double") for c in columns})
@@ -82,7 +84,7 @@ def fit_features(train: DataFrame, numeric: Sequence[str] | None = None) -> Call
     onehot = fit_onehot(train, "region", known)
     impute = lambda df: numbers(df.na.fill({"region": usual}) if usual is not None else df)
     assembler = VectorAssembler(
-        inputCols=[f"__f_{c}" for c in columns] + [f"region_{v}" for v in known], outputCol="features"
+        inputCols=[f"__f_{c}" for c in scale.varying()] + [f"region_{v}" for v in known], outputCol="features"
     )
 
     def transform(df: DataFrame) -> DataFrame:

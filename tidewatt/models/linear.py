@@ -48,6 +48,10 @@ def _fit(train: DataFrame, target: str, penalty) -> Predict:
             elasticNetParam=0.0,
             standardization=False,
             solver="normal",
+            # Collinear columns leave the normal equations singular; they are then solved
+            # by iteration on the driver, over the same aggregate, to this tolerance.
+            tol=1e-14,
+            maxIter=10_000,
         ).fit(ready)
     return lambda df: model.transform(features(df)).drop("features")
 

@@ -65,18 +65,26 @@ def fit_imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
     return lambda df: df.na.fill({c: v for c, v in fill.items() if c in df.columns})
 
 
-def fit_scaler(train: DataFrame, numeric: Sequence[str]) -> Transform:
+@dataclass(frozen=True)
+class Scaler:
+    """Mean and population deviation of each column."""
+
+    stats: dict[str, tuple[float, float]]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: (F.col(c) - mean) / (std or 1.0) for c, (mean, std) in self.stats.items()})
+
+    def varying(self) -> list[str]:
+        """Columns that are not constant. A constant one is all zeros once scaled and carries no weight."""
+        return [c for c, (_, std) in self.stats.items() if std > 0]
+
+
+def fit_scaler(train: DataFrame, numeric: Sequence[str]) -> Scaler:
     """Centre and divide by the population deviation; a constant column is only centred."""
     row = train.agg(
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(numeric)],
-        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(numeric)],
+        *[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]
     ).first()
-
-    def scaled(i: int, c: str) -> Column:
-        mean, std = row[f"m_{i}"] or 0.0, row[f"s_{i}"] or 1.0
-        return (F.col(c) - mean) / std
-
-    return lambda df: df.withColumns({c: scaled(i, c) for i, c in enumerate(numeric)})
+    return Scaler({c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 0.0) for c in numeric})
 
 
 def fit_onehot(train: DataFrame, column: str, known: Sequence[str] | None = None) -> Transform:

@@ -16,6 +16,9 @@ PANEL_TEXT_SCHEMA = "region string, time_key string, time_utc string, " + ", ".j
     f"{c} string" for c in [*K.WEATHER_VARS, "cdd_65f", "hdd_65f", "load_mw"]
 )
 
+# The dataset name pattern as a file glob, so that other files are never opened.
+DATASET_GLOB = f"{K.DATASET_PREFIX}_{'[0-9]' * 8}_to_{'[0-9]' * 8}.csv"
+
 
 # ---- file names ---------------------------------------------------------------------------
 
@@ -138,7 +141,7 @@ def load_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         )
         held = [c for c in columns if c in raw.columns and c != "model"]
         out.append(
-            raw.join(picked.select("file_name", "model", "month"), "file_name")
+            raw.drop("model", "month").join(picked.select("file_name", "model", "month"), "file_name")
             .select("file_name", "model", "month", F.col("__line").alias("row_no"), *held)
         )
     return out[0], out[1]
@@ -165,7 +168,7 @@ def bad_times(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_panel(spark: SparkSession, paths: str | Sequence[str], glob: str = f"{K.DATASET_PREFIX}_*_to_*.csv", strict: bool = True) -> DataFrame:
+def read_panel(spark: SparkSession, paths: str | Sequence[str], glob: str = DATASET_GLOB, strict: bool = True) -> DataFrame:
     """Panel CSV files, with the file's span and the row's place in it as ordering columns."""
     raw = (
         spark.read.option("header", True)
