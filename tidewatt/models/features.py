@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidewatt import constants as K
 from tidewatt.functions import scalar as S
@@ -15,10 +16,6 @@ from tidewatt.models.preprocess import fit_imputer, fit_onehot, fit_scaler, leve
 from tidewatt.operators import panel as P
 from tidewatt.operators.ordered import over_lookback
 
-CALENDAR = ["year", "month", "day", "day_of_week", "hour", "day_of_year"]
-CYCLIC = ["hour_sin", "hour_cos", "doy_sin", "doy_cos"]
-NUMERIC = [*K.WEATHER_VARS, "cdd_65f", "hdd_65f", *K.FEATURE_COLUMNS, *CALENDAR, *CYCLIC]
-
 
 def with_calendar(df: DataFrame) -> DataFrame:
     ts = F.col("time_utc")
@@ -68,6 +65,12 @@ def require_known_regions(train: DataFrame, valid: DataFrame) -> list[str]:
     return known
 
 
+def numeric_features(df: DataFrame) -> list[str]:
+    """Every numeric column except target and time."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [c for c in P.feature_columns(df) if isinstance(kinds[c], NumericType)]
+
+
 def fit_features(train: DataFrame, numeric: Sequence[str] | None = None) -> Callable[[DataFrame], DataFrame]:
     """Impute, scale and one-hot on the training rows; the result maps rows to a `features` vector.
 
@@ -75,7 +78,7 @@ def fit_features(train: DataFrame, numeric: Sequence[str] | None = None) -> Call
     constant over the training rows stay out of the vector: no model here
     gives them weight, and they would make the normal equations singular.
     """
-    columns = [c for c in (numeric or NUMERIC) if c in train.columns]
+    columns = list(numeric or numeric_features(train))
     typed = train.withColumns({c: F.col(c).cast("double") for c in columns})
     numbers = fit_imputer(typed, columns)
     scale = fit_scaler(numbers(typed), columns)

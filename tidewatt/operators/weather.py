@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatt import constants as K
 from tidewatt.functions import scalar as S
-from tidewatt.operators.ordered import attach_group_stats, top_rows
+from tidewatt.operators.ordered import attach_group_stats, join_small, top_rows
 from tidewatt.operators.panel import KEY
 
 
@@ -85,7 +85,8 @@ def region_weather(
     station_hours: DataFrame, weights: DataFrame, spine: DataFrame | None = None, celsius: bool = True
 ) -> DataFrame:
     """Population-weighted hourly weather per region, temperatures in Fahrenheit."""
-    joined = station_hours.join(weights.select("region", "station_name", "population_weight"), ["region", "station_name"])
+    shares = weights.select("region", "station_name", "population_weight")
+    joined = join_small(station_hours, shares, ["region", "station_name"])
     out = weighted_mean_strict(joined, K.WEATHER_VARS, "population_weight")
     if celsius:
         for name in ("temperature_2m", "apparent_temperature"):

@@ -220,14 +220,14 @@ def panel_text(panel: DataFrame) -> DataFrame:
 
 
 def write_panel(panel: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """Write by month, so that the files of one region do not grow without end."""
+    """Write by month. The rebalance hint sizes the files: big months split, small ones share a task."""
     if fmt == "csv":
         panel_text(panel).write.mode("overwrite").option("header", True).csv(folder)
         return
     (
         panel.withColumn("month", S.year_month(F.col("time_utc")))
-        .repartition("month", F.pmod(F.xxhash64("region", F.to_date("time_utc")), F.lit(16)))
-        .sortWithinPartitions("region", "time_utc")
+        .hint("rebalance", "month")
+        .sortWithinPartitions("month", "region", "time_utc")
         .write.mode("overwrite")
         .partitionBy("month")
         .parquet(folder)

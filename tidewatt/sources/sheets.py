@@ -155,7 +155,9 @@ def month_coverage(spans: DataFrame, months: DataFrame) -> DataFrame:
     """Months with every span that overlaps them; a month no span covers has a null file.
 
     Each span is exploded to the months it touches, so the overlap becomes an
-    equi-join on the month and not a comparison of every pair.
+    equi-join on the month and not a comparison of every pair. Months are
+    bounded by the calendar, so they are the side that is broadcast, and the
+    spans never move.
     """
     touched = (
         spans.where("span_start is not null and span_end is not null and span_start <= span_end")
@@ -168,7 +170,9 @@ def month_coverage(spans: DataFrame, months: DataFrame) -> DataFrame:
         # A month ends with its last hour: a span that starts after it does not touch it.
         .where(F.col("span_start") <= F.expr("month_start + interval 1 month - interval 1 hour"))
     )
-    return months.join(touched, "month_start", "left")
+    covered = touched.join(F.broadcast(months.select("month_start")), "month_start", "left_semi")
+    bare = months.join(F.broadcast(touched.select("month_start").distinct()), "month_start", "left_anti")
+    return covered.unionByName(bare, allowMissingColumns=True)
 
 
 def month_starts(spans: DataFrame) -> DataFrame:

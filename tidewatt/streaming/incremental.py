@@ -46,7 +46,7 @@ def replace_days(rows: DataFrame, folder: str, staging: str) -> None:
     (
         rows.sparkSession.read.schema(rows.schema)
         .parquet(staging)
-        .repartition(DAY, F.pmod(F.xxhash64("region"), F.lit(8)))
+        .hint("rebalance", DAY)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY)
@@ -61,11 +61,17 @@ def merge_batch(batch: DataFrame, folder: str, staging: str, order: Sequence[str
     harmless.
     """
     spark = batch.sparkSession
-    incoming = with_day(P.keep_last(batch, order))
-    days = incoming.select(DAY).distinct()
     table = read_table(spark, folder)
-    merged = incoming if table is None else P.keep_last(P.union_parts(touched(table, days), incoming), order)
-    replace_days(merged, folder, staging)
+    # Used for the days and for the merge; kept so that the files are read once.
+    incoming = with_day(P.keep_last(batch, order)).persist()
+    try:
+        merged = incoming
+        if table is not None:
+            days = incoming.select(DAY).distinct()
+            merged = P.keep_last(P.union_parts(touched(table, days), incoming), order)
+        replace_days(merged, folder, staging)
+    finally:
+        incoming.unpersist()
     return spark.read.parquet(staging).select(DAY).distinct()
 
 
