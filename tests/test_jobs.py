@@ -72,3 +72,76 @@ def test_hot_region_blocks_and_bounds(hot):
 def test_materialize_lands_in_the_shared_folder(spark):
     df = materialize(spark.range(5), "five")
     assert df.count() == 5 and all(shared_dir(spark) in f for f in df.inputFiles())
+
+
+def wide_load(spark, first, n):
+    return spark.createDataFrame([(first + timedelta(hours=i), float(i), 2.0 * i) for i in range(n)], "time_utc timestamp, pge double, sce double")
+
+
+def station_rows(spark, first, n, regions=("pge", "sce")):
+    schema = "region string, station_name string, time_utc timestamp, " + ", ".join(f"{v} double" for v in K.WEATHER_VARS)
+    rows = [(r, s, first + timedelta(hours=i), c, c, 50.0, 0.0, 0.0, 5.0, 0.0) for r in regions for s, c in (("s1", 10.0), ("s2", 20.0)) for i in range(n)]
+    weights = [(r, s, w) for r in regions for s, w in (("s1", 1.0), ("s2", 3.0))]
+    return spark.createDataFrame(rows, schema), spark.createDataFrame(weights, "region string, station_name string, population_weight double")
+
+
+def test_build_panel(spark):
+    from datetime import date
+
+    from tidewatt.plans.flagship import build_panel
+
+    hours, weights = station_rows(spark, datetime(2024, 1, 1), 30)
+    load = wide_load(spark, datetime(2024, 1, 1), 24)
+    panel = build_panel(hours, weights, load, date(2024, 1, 1), date(2024, 1, 2), ["pge", "sce"])
+    assert panel.columns == K.PANEL_COLUMNS and panel.count() == 96
+    assert panel.where("temperature_2m is not null").count() == 60 and panel.where("load_mw is not null").count() == 48
+    assert panel.first()["temperature_2m"] == pytest.approx(63.5)
+    with pytest.raises(ValueError, match="vea"):
+        build_panel(hours, weights, load, date(2024, 1, 1), date(2024, 1, 1), ["pge", "vea"]).count()
+    assert build_panel(hours, weights, load, date(2024, 1, 1), date(2024, 1, 1), ["vea"], allow_missing=True).count() == 24
+    with pytest.raises(ValueError, match="nowhere"):
+        build_panel(hours, weights, load, date(2024, 1, 1), date(2024, 1, 1), ["nowhere"])
+
+
+def test_next_day_features_file(spark):
+    from datetime import date
+
+    from tidewatt.plans.flagship import next_day_features
+
+    hours, weights = station_rows(spark, datetime(2024, 1, 8), 24)
+    weather = W.region_weather(hours, weights.withColumn("population_weight", F.col("population_weight") / 4))
+    ahead = W.load_long(wide_load(spark, datetime(2024, 1, 8, 17), 7), ["pge", "sce"])
+    history = W.load_long(wide_load(spark, datetime(2024, 1, 1), 24), ["pge"])
+    out = next_day_features(weather, ahead, history, date(2024, 1, 8))
+    assert out.columns == K.NEXT_DAY_COLUMNS and out.count() == 48
+    assert out.where("load_pred_mw is not null").count() == 14
+    assert out.where("load_previous_week is not null").count() == 24
+    assert next_day_features(weather, ahead, None, date(2024, 1, 8)).where("load_previous_week is not null").count() == 0
+    with pytest.raises(ValueError, match="Incomplete day"):
+        next_day_features(weather.where("hour(time_utc) < 23"), ahead, None, date(2024, 1, 8))
+
+
+def test_compare_run_directories(spark, tmp_path):
+    from tidewatt.plans.flagship import compare_model_runs, compare_monthly_runs
+
+    monthly, single = tmp_path / "monthly", tmp_path / "single"
+    monthly.mkdir()
+    single.mkdir()
+    head = "region,time_key,time_utc,actual_load_mw,predicted_load_mw\n"
+    for model, shift in (("ridge", 5), ("gam", 1)):
+        lines = "".join(f"pge,2025-01-01:{h:02d},2025-01-01 {h:02d}:00:00,100,{100 + shift}\n" for h in range(3))
+        (monthly / f"{model}_2025-01_predictions.csv").write_text(head + lines)
+        (monthly / f"{model}_2025-01_metrics.csv").write_text(f"model,RMSE,MAE\n{model},{shift}.0,{shift}.0\n")
+        (single / f"{model}_predictions.csv").write_text(head + lines)
+        (single / f"{model}.csv").write_text(f"model,RMSE\nThe {model},{shift}.0\n")
+    (single / "other.csv").write_text("a,b\n1,2\n")
+    out = compare_monthly_runs(spark, str(monthly))
+    assert {(r["model"], float(r["RMSE"])) for r in out["summary"].collect()} == {("ridge", 5.0), ("gam", 1.0)}
+    assert {(r["model"], r["RMSE"]) for r in out["recomputed"].collect()} == {("ridge", 5.0), ("gam", 1.0)}
+    assert {(r["model"], r["rank"]) for r in out["ranks"].collect()} == {("ridge", 2), ("gam", 1)}
+    out = compare_model_runs(spark, str(single))
+    assert {r["model"] for r in out["summary"].collect()} == {"the_ridge", "the_gam"}
+    assert {(r["model"], r["MAE_overlap"], r["rows_in_common_window"]) for r in out["overlap"].collect()} == {("ridge", 5.0, 3), ("gam", 1.0, 3)}
+    assert out["by_hour"].count() == 6 and out["first_week"].count() == 6
+    with pytest.raises(ValueError, match="No recognized"):
+        compare_model_runs(spark, str(tmp_path / "single" / "other.csv"))

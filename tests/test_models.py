@@ -243,7 +243,8 @@ def test_baseline_evaluation(spark):
     assert E.against_baseline(sparse).first()["RMSE"] == pytest.approx(5.0)
     with pytest.raises(ValueError, match="load_pred_mw"):
         E.against_baseline(sparse.drop("load_pred_mw", "predicted_load_mw"))
-    assert E.against_baseline(sparse.where("load_pred_mw is null")).count() == 0
+    with pytest.raises(ValueError, match="No rows"):
+        E.against_baseline(sparse.where("load_pred_mw is null"))
 
 
 def test_metrics_of_zero_actuals(spark):

@@ -121,6 +121,17 @@ def grams_by(df: DataFrame, key: Column, prepare: Prepare | None = None) -> Data
     return halfway.groupBy("key").applyInPandas(_sum_group, PARTIAL)
 
 
+def gram_entries(grams: DataFrame) -> DataFrame:
+    """Packed Grams as (key, row_no, col_no, value) rows."""
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        xtx = unpack(pdf.iloc[0]).xtx
+        row, col = np.indices(xtx.shape)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "row_no": row.ravel(), "col_no": col.ravel(), "value": xtx.ravel()})
+
+    return grams.groupBy("key").applyInPandas(entries, "key string, row_no int, col_no int, value double")
+
+
 def gram(df: DataFrame, prepare: Prepare | None = None) -> Gram:
     """The Gram of all rows. Only its square of the feature count reaches the driver."""
     row = grams_by(df, F.lit("all"), prepare).first()

@@ -189,12 +189,13 @@ def metrics_table(files: DataFrame) -> DataFrame:
 
 
 def against_baseline(df: DataFrame, baseline: str = "load_pred_mw", predicted: str = "predicted_load_mw") -> DataFrame:
-    """Metrics against the day-ahead baseline over rows that have both values."""
+    """Metrics against the day-ahead baseline over rows that have both values; none at all is an error."""
     from tidewatt.operators.panel import require_columns
 
     require_columns(df, [baseline, predicted])
     both = df.dropna(subset=[baseline, predicted])
-    return metrics(both, actual=baseline, predicted=predicted).where(F.col("MSE").isNotNull())
+    require_rows(both, f"No rows have both {baseline} and {predicted}")
+    return metrics(both, actual=baseline, predicted=predicted)
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

@@ -111,6 +111,10 @@ def join_weather_load(weather: DataFrame, load: DataFrame, allow_missing: bool =
 def load_long(wide: DataFrame, regions: Sequence[str] = tuple(K.REGIONS), name: str = "load_mw") -> DataFrame:
     """time_utc x region columns to (region, time_utc, load)."""
     present = [r for r in regions if r in wide.columns]
+    if not present:
+        return wide.where("false").select(
+            F.lit(None).cast("string").alias("region"), "time_utc", F.lit(None).cast("double").alias(name)
+        )
     return wide.unpivot(["time_utc"], present, "region", name).select("region", "time_utc", name)
 
 

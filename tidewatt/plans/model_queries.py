@@ -10,6 +10,7 @@ from tidewatt.functions import scalar as S
 from tidewatt.models import additive, backtest, linear, seasonal, trees
 from tidewatt.models import basis as B
 from tidewatt.models.features import month_data
+from tidewatt.models.gram import gram_entries, grams_by
 from tidewatt.operators import panel as P
 from tidewatt.plans import fixtures as X
 from tidewatt.plans.registry import query
@@ -77,6 +78,20 @@ def _(spark, sf):
     return out
 
 
+@query(
+    "normal_equations",
+    f"""with {X.PANEL}, r as (select region, [1.0, hour(time_utc)::double, day(time_utc)::double, load_mw * 100] as x from panel where load_mw is not null),
+        i as (select unnest([1, 2, 3, 4]) as i), j as (select unnest([1, 2, 3, 4]) as j)
+        select region, cast(i - 1 as int) as row_no, cast(j - 1 as int) as col_no, sum(round(x[i]) * round(x[j])) as value
+        from r, i, j group by 1, 2, 3""",
+)
+def _(spark, sf):
+    """The distributed Gram matrix per region, on whole numbers so that the sums are exact."""
+    whole = [F.lit(1.0), F.hour("time_utc").cast("double"), F.dayofmonth("time_utc").cast("double"), F.round(F.col("load_mw") * 100)]
+    rows = X.panel(spark, sf).where("load_mw is not null").select("region", F.array(*whole).alias("x"), F.lit(0.0).alias("y"))
+    return gram_entries(grams_by(rows, F.col("region"))).withColumnRenamed("key", "region")
+
+
 # ---- fits ---------------------------------------------------------------------------------
 
 

@@ -81,6 +81,24 @@ def _(spark, sf):
     return SF.classify_run_files(listed).select("model", "month", "kind", "file_name")
 
 
+@query(
+    "model_files_classify",
+    f"""with {X.RUN_FILES}, f as (select distinct on (file_name) * from run_files order by file_name, file_id, row_no),
+        k as (select file_name, replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(file_name), '\\.csv$', ''),
+          '_metrics$', ''), '_predictions$', ''), ' ', '_'), '-', '_') as model,
+          case when list_contains(header, 'model') and (list_contains(header, 'RMSE') or list_contains(header, 'MAE')) then 'metrics'
+               when list_contains(header, 'time_utc') and list_contains(header, 'actual_load_mw') and list_contains(header, 'predicted_load_mw')
+               then 'predictions' end as kind from f)
+        select model, kind, file_name from k where kind is not null
+        qualify row_number() over (partition by model, kind order by file_name desc) = 1""",
+)
+def _(spark, sf):
+    from tidewatt.operators.ordered import pick_one
+
+    listed = pick_one(X.run_files(spark, sf), ["file_name"], [F.col("file_id"), F.col("row_no")])
+    return SF.classify_model_files(listed).select("model", "kind", "file_name")
+
+
 @query(
     "metrics_table",
     f"""with {RUN_NAMES} select model, month, strptime(month, '%Y-%m') as month_ts, file_name, amount / 100 as "RMSE"

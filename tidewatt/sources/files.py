@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatt import constants as K
 from tidewatt.functions import scalar as S
-from tidewatt.operators.ordered import pick_one
+from tidewatt.operators.ordered import SMALL_SIDE_ROWS, join_small, pick_one
 from tidewatt.operators.panel import keep_last, require_columns
 
 PANEL_TEXT_SCHEMA = "region string, time_key string, time_utc string, " + ", ".join(
@@ -93,6 +93,16 @@ def classify_run_files(files: DataFrame) -> DataFrame:
     return pick_one(good, ["model", "month", "kind"], [F.col("file_name").desc()])
 
 
+def classify_model_files(files: DataFrame) -> DataFrame:
+    """Files (file_name, header) recognised by their columns alone, under the model their name implies.
+
+    For one (model, kind) the last file by name wins; unrecognised files drop.
+    """
+    known = files.withColumn("kind", header_kind(F.col("header"))).where("kind is not null")
+    named = known.withColumn("model", model_from_stem(F.col("file_name")))
+    return pick_one(named, ["model", "kind"], [F.col("file_name").desc()])
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
     """Names and paths under a folder, from the file listing only."""
     return (
@@ -118,35 +128,65 @@ def read_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataF
     )
 
 
+RUN_COLUMNS = {
+    "metrics": ["predict_month", "train_rows_used", "validation_rows_scored", *K.METRIC_COLUMNS, "MEAN_ACTUAL", "MEAN_FORECAST"],
+    "predictions": ["region", "time_key", "time_utc", "actual_load_mw", "predicted_load_mw"],
+}
+
+
+def _read_runs(spark: SparkSession, folder: str, picked: DataFrame, kind: str, glob: str) -> DataFrame:
+    """Rows of the picked files as text, with their place in the file. The picked list has one row per file."""
+    raw = (
+        spark.read.option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("pathGlobFilter", glob)
+        .csv(folder)
+        .select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("__at"))
+        # Splits of a file order by their start, rows inside a split by their id.
+        .withColumn("row_no", F.struct("__at", F.monotonically_increasing_id().alias("id")))
+    )
+    held = [c for c in RUN_COLUMNS[kind] if c in raw.columns]
+    if "model" in raw.columns:
+        raw = raw.withColumnRenamed("model", "row_model")
+        held.append("row_model")
+    return join_small(raw.drop("month"), picked, ["file_name"]).select(*picked.columns, "row_no", *held)
+
+
 def load_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(metrics, predictions) of a run directory; badly named or shaped files are left out."""
+    """(metrics, predictions) of a directory of monthly runs; badly named or shaped files are left out."""
     chosen = classify_run_files(read_headers(spark, folder))
     out = []
-    for kind, columns in (
-        ("metrics", ["model", "predict_month", "train_rows_used", "validation_rows_scored", *K.METRIC_COLUMNS, "MEAN_ACTUAL", "MEAN_FORECAST"]),
-        ("predictions", ["region", "time_key", "time_utc", "actual_load_mw", "predicted_load_mw"]),
-    ):
-        picked = chosen.where(F.col("kind") == kind)
-        names = [r["file_name"] for r in picked.select("file_name").collect()]
-        if not names:
+    for kind in ("metrics", "predictions"):
+        picked = chosen.where(F.col("kind") == kind).select("file_name", "model", "month")
+        if picked.isEmpty():
             raise ValueError(f"No {kind} files were found in {folder}")
-        raw = (
-            spark.read.option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("pathGlobFilter", f"*_{kind}.csv")
-            .csv(folder)
-            .select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("__at"))
-            # Splits of a file order by their start, rows inside a split by their id.
-            .withColumn("__line", F.struct("__at", F.monotonically_increasing_id().alias("id")))
-        )
-        held = [c for c in columns if c in raw.columns and c != "model"]
-        out.append(
-            raw.drop("model", "month").join(picked.select("file_name", "model", "month"), "file_name")
-            .select("file_name", "model", "month", F.col("__line").alias("row_no"), *held)
-        )
+        out.append(_read_runs(spark, folder, picked, kind, f"*_{kind}.csv"))
     return out[0], out[1]
 
 
+def load_model_runs(spark: SparkSession, folder: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(metrics, predictions) of a directory with one run per model, told apart by their columns.
+
+    A metrics file belongs to the model its first row names, a predictions
+    file to the one its name implies; either side may be absent, but not both.
+    """
+    chosen = classify_model_files(read_headers(spark, folder))
+    sides: dict[str, DataFrame | None] = {}
+    for kind in ("metrics", "predictions"):
+        picked = chosen.where(F.col("kind") == kind).select("file_name", "model")
+        # Read each kind on its own list, as files of different shape cannot share one header.
+        names = [r["file_name"] for r in picked.select("file_name").limit(SMALL_SIDE_ROWS).collect()]
+        glob = "{" + ",".join(names) + "}"
+        sides[kind] = _read_runs(spark, folder, picked, kind, glob) if names else None
+    if sides["metrics"] is None and sides["predictions"] is None:
+        raise ValueError("No recognized metrics or predictions files were found")
+    if sides["metrics"] is not None:
+        first = pick_one(sides["metrics"], ["file_name"], [F.col("row_no")])
+        named = first.withColumn("model", F.coalesce(S.norm_model_name(F.col("row_model")), F.col("model")))
+        sides["metrics"] = pick_one(named, ["model"], [F.col("file_name").desc()])
+    return sides["metrics"], sides["predictions"]
+
+
 # ---- panel scans --------------------------------------------------------------------------
 
 
