@@ -124,8 +124,19 @@ def with_holiday_flag(panel: DataFrame, rules: list[Holiday], name: str, ts: str
     )
 
 
+def calendar_table(spark: SparkSession, calendars: dict[str, list[Holiday]]) -> DataFrame:
+    """One row per day that is a holiday in some calendar, with a 0/1 flag for each."""
+    listed = None
+    for name, rules in calendars.items():
+        days = holiday_table(spark, rules).select("day", F.lit(name).alias("calendar"))
+        listed = days if listed is None else listed.unionByName(days)
+    return listed.groupBy("day").agg(*[F.max((F.col("calendar") == n).cast("int")).alias(n) for n in calendars])
+
+
 def with_calendar_flags(panel: DataFrame, ts: str = "time_utc") -> DataFrame:
-    """The three calendar features: weekend, federal holiday, state holiday."""
-    out = panel.withColumn("is_weekend", is_weekend(F.col(ts)))
-    out = with_holiday_flag(out, FEDERAL, "US_federal_holidays", ts)
-    return with_holiday_flag(out, STATE, "state_holidays", ts)
+    """The three calendar features: weekend, federal holiday, state holiday. One join for both calendars."""
+    names = {"US_federal_holidays": FEDERAL, "state_holidays": STATE}
+    table = calendar_table(panel.sparkSession, names).withColumnRenamed("day", "__day")
+    flagged = panel.drop(*names).withColumn("is_weekend", is_weekend(F.col(ts)))
+    joined = flagged.join(F.broadcast(table), F.to_date(ts) == F.col("__day"), "left").drop("__day")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})

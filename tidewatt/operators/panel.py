@@ -335,23 +335,29 @@ def degree_day_check(panel: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
 
 def _chunk_gaps(panel: DataFrame) -> DataFrame:
-    """Per (region, day): bounds, counts and the gaps inside the day."""
+    """Per (region, day): bounds, counts and the gaps inside the day.
+
+    Copies of an hour are counted before anything is ordered, so an hour with
+    very many copies reaches its window as one row.
+    """
+    hours = panel.groupBy("region", "time_utc").agg(F.count("*").alias("__n"), F.count("load_mw").alias("__p"))
     within = Window.partitionBy("region", "__chunk").orderBy("time_utc")
     step = S.hours_between(F.col("time_utc"), F.lag("time_utc").over(within))
+    loaded = F.when(F.col("__p") > 0, F.col("time_utc"))
     return (
-        panel.withColumn("__chunk", day_chunk())
+        hours.withColumn("__chunk", day_chunk())
         .withColumn("__step", step)
         .groupBy("region", "__chunk")
         .agg(
             F.min("time_utc").alias("t0"),
             F.max("time_utc").alias("t1"),
-            F.count("*").alias("n"),
-            F.count_if(F.col("__step") == 0).alias("dups"),
+            F.sum("__n").alias("n"),
+            F.sum(F.col("__n") - 1).alias("dups"),
             F.count_if(F.col("__step") > 1).alias("gaps"),
             F.max(F.when(F.col("__step") > 1, F.col("__step"))).alias("widest"),
-            F.count("load_mw").alias("present"),
-            F.min(F.when(F.col("load_mw").isNotNull(), F.col("time_utc"))).alias("p0"),
-            F.max(F.when(F.col("load_mw").isNotNull(), F.col("time_utc"))).alias("p1"),
+            F.sum("__p").alias("present"),
+            F.min(loaded).alias("p0"),
+            F.max(loaded).alias("p1"),
         )
     )
 
@@ -397,7 +403,8 @@ def missing_blocks(panel: DataFrame, value: str = "load_mw") -> DataFrame:
     """Runs of consecutive rows without a value: start, end and length.
 
     A missing row's position among all rows minus its position among missing
-    rows is constant along a run, so the runs fall out of one aggregate.
+    rows is constant along a run, so the runs fall out of one aggregate. Meant
+    for a de-duplicated panel, whose (region, month) holds at most 744 hours.
     """
     missing = F.col(value).isNull()
     # Duplicate hours order deterministically: present rows first.
