@@ -272,3 +272,24 @@ def test_backtest_skips_finished(spark, revised, tmp_path):
     assert before == {f.name for f in (tmp_path / "runs" / "metrics").rglob("*.parquet")}
     predictions = spark.read.parquet(f"{folder}/predictions")
     assert predictions.where("model = 'ridge' and ape_percent >= 0").count() == 2 * 9 * 24
+
+
+def test_eps_insensitive_is_at_its_optimum(spark):
+    rng = np.random.default_rng(7)
+    df = FT.with_calendar(spark.createDataFrame(revised_rows("2025-01-01", 24 * 6), SCHEMA))
+    names = ["temperature_2m", "load_previous_week", "hour_sin"]
+    small = df.select("region", "time_utc", "load_mw", *names)
+    c, epsilon = 50.0, 5.0
+    ready = FT.fit_features(small)(small).select("region", "time_utc", "features", "load_mw").collect()
+    x = np.column_stack([np.array([r["features"].toArray() for r in ready]), np.ones(len(ready))])
+    y = np.array([r["load_mw"] for r in ready])
+    scored = linear.fit_eps_insensitive(small, c=c, epsilon=epsilon, max_iter=40)(small)
+    got = {(r["region"], r["time_utc"]): r["predicted_load_mw"] for r in scored.collect()}
+    fitted = np.array([got[r["region"], r["time_utc"]] for r in ready])
+    w = np.linalg.lstsq(x, fitted, rcond=None)[0]
+    cost = lambda v: 0.5 * v @ v + c * np.maximum(np.abs(y - x @ v) - epsilon, 0).sum()
+    # The one-hot and intercept columns are collinear, so compare against the cheapest equal fit.
+    base = min(cost(w), cost(np.linalg.pinv(x) @ fitted))
+    for scale in (0.01, 0.1, 1.0, 10.0):
+        for _ in range(50):
+            assert cost(w + rng.normal(size=len(w)) * scale) > base * 0.995

@@ -19,28 +19,50 @@ from tidewatt.models.preprocess import cached, fit_imputer, levels, with_region_
 
 @dataclass
 class Term:
-    """One additive term: its columns as an expression, and its penalty."""
+    """One additive term: its columns as an expression, and its penalty.
+
+    A spline also has its place on the knots, a column of its own that the
+    expression then refers to many times.
+    """
 
     name: str
     size: int
     expr: Callable[[], Column]
     penalty: np.ndarray
     start: int = 0
+    place: Callable[[], Column] | None = None
 
 
 @dataclass
 class Design:
     terms: list[Term] = field(default_factory=list)
 
-    def add(self, name: str, size: int, expr: Callable[[], Column], penalty: np.ndarray) -> None:
-        self.terms.append(Term(name, size, expr, penalty, self.size))
+    def add(self, name: str, size: int, expr: Callable[[], Column], penalty: np.ndarray, place=None) -> None:
+        self.terms.append(Term(name, size, expr, penalty, self.size, place))
+
+    def add_spline(self, name: str, lo: Callable[[], Column | float], hi: Callable[[], Column | float], n: int, lam: float) -> None:
+        self.add(
+            name,
+            n,
+            lambda: B.spline_row(F.col(f"__u_{name}"), F.col(f"__i_{name}"), F.col(f"__c_{name}"), n),
+            lam * B.difference_penalty(n),
+            lambda: B.spline_place(_column(name), lo(), hi(), n),
+        )
 
     @property
     def size(self) -> int:
         return sum(t.size for t in self.terms)
 
-    def vector(self) -> Column:
-        return F.concat(*[t.expr() for t in self.terms])
+    def apply(self, df: DataFrame, name: str = "x") -> DataFrame:
+        """`df` with the design row as an array. Places are settled in steps, so that no step's code grows large."""
+        splines = [t for t in self.terms if t.place is not None]
+        placed = df.withColumns({f"__u_{t.name}": t.place() for t in splines})
+        cells = {}
+        for t in splines:
+            cell = B.spline_cell(F.col(f"__u_{t.name}"), t.size)
+            cells.update({f"__i_{t.name}": cell["inside"], f"__c_{t.name}": cell["cell"]})
+        full = placed.withColumns(cells).withColumn(name, F.concat(*[t.expr() for t in self.terms]))
+        return full.drop(*[f"__{k}_{t.name}" for t in splines for k in "uic"])
 
     def penalty(self, ridge: float = 1e-6) -> np.ndarray:
         out = np.eye(self.size) * ridge
@@ -65,12 +87,7 @@ def additive_design(train: DataFrame, regions: int, n_splines: int = 25, lam: fl
     design = Design()
     design.add("intercept", 1, lambda: F.array(F.lit(1.0)), np.zeros((1, 1)))
     for name, (lo, hi) in edges(train, K.ADDITIVE_SPLINES).items():
-        design.add(
-            name,
-            n_splines,
-            lambda name=name, lo=lo, hi=hi: B.spline_basis(_column(name), lo, hi, n_splines),
-            lam * B.difference_penalty(n_splines),
-        )
+        design.add_spline(name, lambda lo=lo: lo, lambda hi=hi: hi, n_splines, lam)
     for name, (n, lo, hi) in K.ADDITIVE_CYCLIC.items():
         design.add(
             name,
@@ -96,7 +113,7 @@ class AdditiveModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         weights = F.lit([float(b) for b in self.beta])
-        scored = self.prepare(df).withColumn("__x", self.design.vector())
+        scored = self.design.apply(self.prepare(df), "__x")
         return scored.withColumn("predicted_load_mw", S.from_log(dot(F.col("__x"), weights))).drop("__x")
 
     def partial_effect(self, spark, name: str, points: int = 100, z: float = 1.959963984540054) -> DataFrame:
@@ -111,7 +128,8 @@ class AdditiveModel:
         grid = spark.range(points).select(
             (F.col("id") / float(points - 1) * (hi - lo) + lo).alias(name)
         )
-        rows = grid.withColumn("__b", term.expr())
+        alone = Design([Term(term.name, term.size, term.expr, term.penalty, 0, term.place)])
+        rows = alone.apply(grid, "__b")
         effect = dot(F.col("__b"), F.lit([float(b) for b in self.beta[cut]]))
         variance = F.aggregate(
             F.array(*[dot(F.col("__b"), F.lit([float(v) for v in r])) for r in factor]),
@@ -133,7 +151,7 @@ def fit_additive(train: DataFrame, n_splines: int = 25, lam: float = 0.6) -> Add
 
     ready = prepare(train)
     design = additive_design(ready, len(known), n_splines, lam)
-    g = gram(ready.select(design.vector().alias("x"), S.to_log(F.col("load_mw")).alias("y")))
+    g = gram(design.apply(ready).select("x", S.to_log(F.col("load_mw")).alias("y")))
     system = g.xtx + design.penalty()
     beta = np.linalg.solve(system, g.xty)
     inverse = np.linalg.inv(system)
@@ -169,17 +187,14 @@ def fit_additive_by_hour(train: DataFrame, valid: DataFrame, n_splines: int = 20
     design = Design()
     design.add("intercept", 1, lambda: F.array(F.lit(1.0)), np.zeros((1, 1)))
     for name in terms:
-        design.add(
-            name,
-            n_splines,
-            lambda name=name: B.spline_basis(_column(name), F.col(f"lo_{name}"), F.col(f"hi_{name}"), n_splines),
-            lam * B.difference_penalty(n_splines),
+        design.add_spline(
+            name, lambda name=name: F.col(f"lo_{name}"), lambda name=name: F.col(f"hi_{name}"), n_splines, lam
         )
     design.add("region_code", len(known), lambda: B.one_hot(_column("region_code"), len(known)), lam * np.eye(len(known)))
 
     def ready(df: DataFrame) -> DataFrame:
         coded = with_region_code(df, known).na.fill({"region_code": 0})
-        return coded.join(F.broadcast(bounds), "hour").withColumn("x", design.vector())
+        return design.apply(coded.join(F.broadcast(bounds), "hour"))
 
     rows = ready(usable_train).select("hour", "x", S.to_log(F.col("load_mw")).alias("y"))
     betas = solve_by(grams_by(rows, F.col("hour")), design.penalty()).select(

@@ -29,22 +29,31 @@ def _zeros(n: Column) -> Column:
     return F.array_repeat(F.lit(0.0), n.cast("int"))
 
 
-def spline_basis(x: Column, lo: Column | float, hi: Column | float, n: int) -> Column:
-    """n cubic B-splines on even knots over [lo, hi]; straight-line continuation outside.
-
-    Only four of them differ from zero at any point, so the array is those four
-    between two runs of zeros.
-    """
+def spline_place(x: Column, lo: Column | float, hi: Column | float, n: int) -> Column:
+    """x in knot steps from lo."""
     lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
-    step = F.when(hi > lo, (hi - lo) / float(n - 3)).otherwise(1.0)
-    u = (x - lo) / step
+    return (x - lo) / F.when(hi > lo, (hi - lo) / float(n - 3)).otherwise(1.0)
+
+
+def spline_cell(u: Column, n: int) -> dict[str, Column]:
+    """The place held inside the knots, and the cell it falls into."""
     inside = F.when(u.isNotNull(), F.least(F.greatest(u, F.lit(0.0)), F.lit(float(n - 3))))
-    cell = F.least(F.floor(inside), F.lit(n - 4))
+    return {"inside": inside, "cell": F.least(F.floor(inside), F.lit(n - 4))}
+
+
+def spline_row(u: Column, inside: Column, cell: Column, n: int) -> Column:
+    """Only four splines differ from zero at any point: those four between two runs of zeros."""
     f, beyond = inside - cell, u - inside
     four = F.array(*[w + s * beyond for w, s in zip(_weights(f), _slopes(f))])
     return F.concat(_zeros(cell), four, _zeros(F.lit(n - 4) - cell))
 
 
+def spline_basis(x: Column, lo: Column | float, hi: Column | float, n: int) -> Column:
+    """n cubic B-splines on even knots over [lo, hi]; straight-line continuation outside."""
+    u = spline_place(x, lo, hi, n)
+    return spline_row(u, *spline_cell(u, n).values(), n)
+
+
 def cyclic_basis(x: Column, lo: float, hi: float, n: int) -> Column:
     """n cubic B-splines that wrap from hi back to lo."""
     u = F.pmod((x - lo) / ((hi - lo) / n), F.lit(float(n)))

@@ -1,8 +1,9 @@
 """Normal equations as a distributed aggregate, whole or per group.
 
-Each task reduces its rows to one (X'X, X'y, y'y, n) per group with numpy, and
-two grouping rounds add those up, so no task ever gathers rows: the largest
-thing to travel is one square of the feature count per task and group.
+Each task reduces its rows to one (X'X, X'y, y'y, n) per group with numpy; two
+grouping rounds then add those vectors up in the JVM, combined map-side. No task
+ever gathers rows: the largest thing to travel is one square of the feature
+count per task and group.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTIAL = "key string, task int, size int, xtx binary, xty binary, yty double, n long"
+PARTIAL = "key string, task int, stats array<double>"
 FAN_IN = 64
 MAX_SIZE = 2_000
 
@@ -30,6 +33,9 @@ class Gram:
     yty: float
     n: int
 
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.xtx.ravel(), self.xty, [self.yty, self.n]])
+
 
 def dot(x: Column, w: Column) -> Column:
     """Inner product of two arrays, in the JVM."""
@@ -48,10 +54,13 @@ def _partials(prepare: Prepare | None):
         task = TaskContext.get().partitionId()
         sums: dict[str, Gram] = {}
         for batch in batches:
+            batch = batch.filter(batch.column("x").is_valid())
             if batch.num_rows == 0:
                 continue
             keys = np.asarray(batch.column("key").to_pandas())
             x_all = _matrix(batch.column("x"))
+            if x_all.shape[1] > MAX_SIZE:
+                raise ValueError(f"{x_all.shape[1]} features exceed the {MAX_SIZE} a solve may take")
             y_all = batch.column("y").to_numpy(zero_copy_only=False)
             for key in np.unique(keys):
                 chosen = keys == key
@@ -67,11 +76,7 @@ def _partials(prepare: Prepare | None):
             {
                 "key": pa.array(list(sums), pa.string()),
                 "task": pa.array([task] * len(sums), pa.int32()),
-                "size": pa.array([g.xtx.shape[0] for g in sums.values()], pa.int32()),
-                "xtx": pa.array([g.xtx.tobytes() for g in sums.values()], pa.binary()),
-                "xty": pa.array([g.xty.tobytes() for g in sums.values()], pa.binary()),
-                "yty": pa.array([g.yty for g in sums.values()], pa.float64()),
-                "n": pa.array([g.n for g in sums.values()], pa.int64()),
+                "stats": pa.array([g.packed() for g in sums.values()], pa.list_(pa.float64())),
             }
         )
 
@@ -82,50 +87,29 @@ def _add(a: Gram, b: Gram) -> Gram:
     return Gram(a.xtx + b.xtx, a.xty + b.xty, a.yty + b.yty, a.n + b.n)
 
 
-def unpack(row) -> Gram:
-    size = row["size"]
-    return Gram(
-        np.frombuffer(bytes(row["xtx"])).reshape(size, size),
-        np.frombuffer(bytes(row["xty"])),
-        float(row["yty"]),
-        int(row["n"]),
-    )
-
-
-def _sum_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = None
-    for _, row in pdf.iterrows():
-        part = unpack(row)
-        total = part if total is None else _add(total, part)
-    return pd.DataFrame(
-        [
-            {
-                "key": pdf["key"].iloc[0],
-                "task": 0,
-                "size": total.xtx.shape[0],
-                "xtx": total.xtx.tobytes(),
-                "xty": total.xty.tobytes(),
-                "yty": total.yty,
-                "n": total.n,
-            }
-        ]
-    )
+def unpack(stats) -> Gram:
+    values = np.asarray(stats, dtype=float)
+    size = round((np.sqrt(4 * len(values) - 7) - 1) / 2)
+    square = size * size
+    return Gram(values[:square].reshape(size, size), values[square : square + size], float(values[-2]), int(values[-1]))
 
 
 def grams_by(df: DataFrame, key: Column, prepare: Prepare | None = None) -> DataFrame:
     """One packed Gram per key from rows with `x` (array) and `y`; rows lacking either drop."""
-    rows = df.where("x is not null and y is not null").select(key.cast("string").alias("key"), "x", "y")
+    # A null x is dropped in the task: a filter on it would compute the whole row twice.
+    rows = df.where("y is not null").select(key.cast("string").alias("key"), "x", "y")
     partial = rows.mapInArrow(_partials(prepare), PARTIAL)
-    rounds = partial.withColumn("task", (F.col("task") % FAN_IN).cast("int"))
-    halfway = rounds.groupBy("key", "task").applyInPandas(_sum_group, PARTIAL)
-    return halfway.groupBy("key").applyInPandas(_sum_group, PARTIAL)
+    vectors = partial.select("key", (F.col("task") % FAN_IN).alias("task"), array_to_vector("stats").alias("v"))
+    halfway = vectors.groupBy("key", "task").agg(Summarizer.sum(F.col("v")).alias("v"))
+    total = halfway.groupBy("key").agg(Summarizer.sum(F.col("v")).alias("v"))
+    return total.select("key", vector_to_array("v").alias("stats"))
 
 
 def gram_entries(grams: DataFrame) -> DataFrame:
     """Packed Grams as (key, row_no, col_no, value) rows."""
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        xtx = unpack(pdf.iloc[0]).xtx
+        xtx = unpack(pdf["stats"].iloc[0]).xtx
         row, col = np.indices(xtx.shape)
         return pd.DataFrame({"key": pdf["key"].iloc[0], "row_no": row.ravel(), "col_no": col.ravel(), "value": xtx.ravel()})
 
@@ -137,16 +121,14 @@ def gram(df: DataFrame, prepare: Prepare | None = None) -> Gram:
     row = grams_by(df, F.lit("all"), prepare).first()
     if row is None:
         raise ValueError("no rows to fit")
-    if row["size"] > MAX_SIZE:
-        raise ValueError(f"{row['size']} features exceed the {MAX_SIZE} a driver-side solve may take")
-    return unpack(row)
+    return unpack(row["stats"])
 
 
 def solve_by(grams: DataFrame, penalty: np.ndarray) -> DataFrame:
     """(key, beta, n) of each group's penalised least squares, solved where the group is."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = unpack(pdf.iloc[0])
+        g = unpack(pdf["stats"].iloc[0])
         beta = np.linalg.lstsq(g.xtx + penalty, g.xty, rcond=None)[0]
         return pd.DataFrame([{"key": pdf["key"].iloc[0], "beta": beta.tolist(), "n": g.n}])
 

@@ -55,14 +55,18 @@ def fit_seasonal_by_region(
 
     def design(df: DataFrame) -> DataFrame:
         joined = join_small(fill(df), stats, ["region"], "left")
-        t = (days() - F.col("__d0")) / F.greatest(F.col("__d1") - F.col("__d0"), F.lit(1e-9))
+        # Day and trend are columns of their own, as the terms below repeat them many times.
+        joined = joined.withColumn("__day", days()).withColumn(
+            "__t", (F.col("__day") - F.col("__d0")) / F.greatest(F.col("__d1") - F.col("__d0"), F.lit(1e-9))
+        )
+        day, t = F.col("__day"), F.col("__t")
         scaled = [
             F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c in names
         ]
         x = F.concat(
             F.array(F.lit(1.0), t),
             B.hinges(t, HINGES),
-            *[B.fourier(days(), period, order) for _, period, order in SEASONS],
+            *[B.fourier(day, period, order) for _, period, order in SEASONS],
             F.array(*scaled) if scaled else F.array().cast("array<double>"),
         )
         return joined.withColumn("x", x)
