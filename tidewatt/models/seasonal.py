@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatt import constants as K
 from tidewatt.models import basis as B
 from tidewatt.models.gram import dot, grams_by, solve_by
-from tidewatt.operators.ordered import join_small
+from tidewatt.operators.ordered import small_table
 from tidewatt.operators.quantiles import exact_medians_by
 
 HINGES = 25
@@ -35,6 +35,7 @@ def fit_seasonal_by_region(
     names = [c for c in (regressors or K.SEASONAL_REGRESSORS) if c in train.columns]
     typed = train.withColumns({c: F.col(c).cast("double") for c in names})
     medians = exact_medians_by(typed, "region", names)
+
     def fill(df: DataFrame) -> DataFrame:
         out = {}
         for c in names:
@@ -45,7 +46,7 @@ def fit_seasonal_by_region(
         return df.withColumns(out)
 
     filled = fill(typed)
-    stats = filled.groupBy("region").agg(
+    summary = filled.groupBy("region").agg(
         F.min(days()).alias("__d0"),
         F.max(days()).alias("__d1"),
         F.max(F.abs("load_mw")).alias("__scale"),
@@ -53,8 +54,10 @@ def fit_seasonal_by_region(
         *[F.stddev_pop(c).alias(f"__s_{c}") for c in names],
     )
 
+    stats = small_table(summary)
+
     def design(df: DataFrame) -> DataFrame:
-        joined = join_small(fill(df), stats, ["region"], "left")
+        joined = fill(df).join(stats, "region", "left")
         # Day and trend are columns of their own, as the terms below repeat them many times.
         joined = joined.withColumn("__day", days()).withColumn(
             "__t", (F.col("__day") - F.col("__d0")) / F.greatest(F.col("__d1") - F.col("__d0"), F.lit(1e-9))
@@ -80,10 +83,12 @@ def fit_seasonal_by_region(
         ]
     )
     rows = design(typed).select("region", "x", (F.col("load_mw") / F.nullif(F.col("__scale"), F.lit(0.0))).alias("y"))
-    betas = solve_by(grams_by(rows, F.col("region")), np.diag(ridge)).select(F.col("key").alias("region"), "beta")
+    betas = small_table(
+        solve_by(grams_by(rows, F.col("region")), np.diag(ridge)).select(F.col("key").alias("region"), "beta")
+    )
 
     def predict(df: DataFrame) -> DataFrame:
-        scored = join_small(design(df), betas, ["region"], "left")
+        scored = design(df).join(betas, "region", "left")
         value = dot(F.col("x"), F.col("beta")) * F.col("__scale")
         return scored.withColumn(
             "predicted_load_mw", F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))

@@ -27,6 +27,14 @@ def day_chunk(ts: str = "time_utc") -> Column:
 SMALL_SIDE_ROWS = 100_000
 
 
+def small_table(small: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """`small` fetched into a local table marked for broadcast if it has at most `limit` rows, else unchanged."""
+    fetched = small.limit(limit + 1).toArrow()
+    if fetched.num_rows > limit:
+        return small
+    return F.broadcast(small.sparkSession.createDataFrame(fetched.to_pylist(), small.schema))
+
+
 def join_small(
     left: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = SMALL_SIDE_ROWS
 ) -> DataFrame:
@@ -37,11 +45,7 @@ def join_small(
     `limit` rows: within it, it becomes a local table that broadcasts; beyond
     it, the plain join stays, with adaptive skew handling.
     """
-    fetched = small.limit(limit + 1).toArrow()
-    if fetched.num_rows > limit:
-        return left.join(small, list(keys), how)
-    local = small.sparkSession.createDataFrame(fetched.to_pylist(), small.schema)
-    return left.join(F.broadcast(local), list(keys), how)
+    return left.join(small_table(small, limit), list(keys), how)
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:

@@ -82,9 +82,14 @@ def exact_medians(df: DataFrame, columns, small: int = SMALL) -> dict[str, float
     return {c: out[c] for c in columns}
 
 
-def exact_medians_by(df: DataFrame, key: str, columns, small: int = SMALL) -> dict[str, dict[str, float | None]]:
-    """Exact medians per value of `key`, for a key of few values such as the region."""
-    sizes = {r[key]: r["count"] for r in df.groupBy(key).count().collect()}
+def exact_medians_by(
+    df: DataFrame, key: str, columns, small: int = SMALL, max_keys: int = 10_000
+) -> dict[str, dict[str, float | None]]:
+    """Exact medians per value of `key`, for a key of few values such as the region; too many are an error."""
+    counted = df.groupBy(key).count().limit(max_keys + 1).collect()
+    if len(counted) > max_keys:
+        raise ValueError(f"{key} has more than {max_keys} values")
+    sizes = {r[key]: r["count"] for r in counted}
     short = [k for k, n in sizes.items() if n <= small]
     out = {k: exact_medians(df.where(F.col(key) == k), columns, small) for k in sizes if k not in short}
     if short:
