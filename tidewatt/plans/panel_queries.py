@@ -234,9 +234,9 @@ def _(spark, sf):
     return P.reindex(panel, P.region_spine(panel))
 
 
-@query("union_parts", f"with {X.PARTS} select part_no, region, time_utc, load_mw, case when part_no = 1 then row_ord end as row_ord from parts")
+@query("union_parts", f"with {X.PARTS} select part_no, region, time_utc, load_mw, case when part_no = 1 then row_ord::double end as row_ord from parts")
 def _(spark, sf):
-    parts = X.parts(spark, sf)
+    parts = X.parts(spark, sf).withColumn("row_ord", F.col("row_ord").cast("double"))
     return P.union_parts(parts.where("part_no = 0").drop("row_ord"), parts.where("part_no = 1"))
 
 
@@ -551,10 +551,10 @@ def _(spark, sf):
 
 @query(
     "cyclic_features",
-    f"""with {X.PANEL} select region, time_utc, round(sin(2 * pi() * hour(time_utc) / 24.0), 9) as hour_sin,
-        round(cos(2 * pi() * hour(time_utc) / 24.0), 9) as hour_cos,
-        round(sin(2 * pi() * dayofyear(time_utc) / 365.25), 9) as doy_sin,
-        round(cos(2 * pi() * dayofyear(time_utc) / 365.25), 9) as doy_cos from panel""",
+    f"""with {X.PANEL} select region, time_utc, round(sin(2 * pi() * hour(time_utc) / 24.0), 9) + 0.0 as hour_sin,
+        round(cos(2 * pi() * hour(time_utc) / 24.0), 9) + 0.0 as hour_cos,
+        round(sin(2 * pi() * dayofyear(time_utc) / 365.25), 9) + 0.0 as doy_sin,
+        round(cos(2 * pi() * dayofyear(time_utc) / 365.25), 9) + 0.0 as doy_cos from panel""",
 )
 def _(spark, sf):
     parts = {n: F.round(c, 9) + 0.0 for n, c in S.cyclic_parts(F.col("time_utc")).items()}
