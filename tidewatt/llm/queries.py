@@ -49,3 +49,61 @@ def op8_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = prefix_counts(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), keep_steps=False)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query
+def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.mixing import mix, mixed_documents
+
+    return mixed_documents(mix(table(spark, folder, "documents")))
+
+
+SQL["op1_source_mix"] = r"""
+with d as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+        md5('mix:' || coalesce(cast(doc_id as varchar), '')) as h
+    from documents),
+s as (
+    select source, cast(sum(size) as bigint) as source_size, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight
+    from d group by source),
+l as (
+    select *, 2.0::double * source_size as cap, row_number() over o as nth,
+        (1.5::double * sum(source_size) over () - coalesce(sum(2.0::double * source_size) over (o rows between unbounded preceding and 1 preceding), 0))
+            / (sum(weight) over () - coalesce(sum(weight) over (o rows between unbounded preceding and 1 preceding), 0)) as level
+    from s window o as (order by source_size / weight, case when source is null then 'n' else 's' || source end)),
+f as (select arg_min(level, nth) filter (not cap <= level * weight) as level from l),
+t as (
+    select source, source_size, case when cap <= l.level * weight then cap else least(cap, f.level * weight) end as target
+    from l cross join f),
+p as (
+    select d.doc_id, d.size, t.source_size, t.target, cast(floor(t.target) as bigint) as need,
+        coalesce(sum(d.size) over (partition by d.source order by d.h, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0) as start
+    from d join t on d.source is not distinct from t.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+    cast(case when source_size = 0 then 0
+        else (need // source_size) * size + greatest(0, least(start + size, need % source_size) - start) end as bigint) as taken
+from p
+"""
+
+
+@query
+def op3_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.toxicity import chain_for, score
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score(docs, chain_for(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
+@query
+def op5_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.repeats import without_repeats
+
+    return without_repeats(table(spark, folder, "documents"))
