@@ -65,9 +65,22 @@ class ChunkTable(dict):
 
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Tokens of a byte-level tokenizer never cross these cuts: its splitting rule gives a word the one space before it,
-#: keeps the rest of a run of white space apart, and ends a run of letters before a stop or comma.
-SPACED_CHUNK = re.compile(rf" ?[{LETTERS}]+(?=[.,\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
+#: keeps the rest of a run of white space apart, and ends a run of letters before any mark but an apostrophe.
+MARKS = "!-&(-/:-@\\[-`{-~"
+SPACED_CHUNK = re.compile(rf" ?[{LETTERS}]+(?=[{MARKS}\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 #: Nor do those of a word-end tokenizer, which drops white space.
-WORD_CHUNK = re.compile(rf"\s*[{LETTERS}]+(?=[.,\s]|\Z)|\s*\S+|\s+")
+WORD_CHUNK = re.compile(rf"\s*[{LETTERS}]+(?=[{MARKS}\s]|\Z)|\s*\S+|\s+")
+LETTERS_ONLY = re.compile(rf" ?[{LETTERS}]+")
+
+
+#: The printable characters in which byte-level models hold bytes: a printable Latin-1 byte is itself, the others are
+#: numbered from 256 on.
+BYTES_AS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
+
+
+def byte_level(text: str) -> str:
+    return text.encode().decode("latin-1").translate(BYTES_AS)
+
+
 #: Characters that Python counts as white space and the tokenizers do not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
