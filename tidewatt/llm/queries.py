@@ -107,3 +107,10 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatt.llm.repeats import without_repeats
 
     return without_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op9_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, folder, "embeddings"))
