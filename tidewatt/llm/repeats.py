@@ -22,7 +22,7 @@ from tidewatt.llm.common import materialize, partitions, slices, whole_text
 
 LENGTH, GRAM = 200, 64
 PIECE = 1 << 20  # windows of one text that are looked at together
-LOT = 1 << 20  # bytes in one index
+LOT = 1 << 18  # bytes in one index, but for the rest of its last anchor
 #: An anchor with more distinct segments than this is compared by its windows, not in one index.
 CROWD = 1000
 FACTOR = 0x9E3779B97F4A7C15 | 1
@@ -95,8 +95,7 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                     parts.append((np.full(len(first), row), anchor, np.array(seg, "u8").view("i8"), first + start, last - first + 1))
             if parts:
                 row, anchor, seg, first, n = map(np.concatenate, zip(*parts))
-                own = batch.take(pa.array(row))
-                yield pa.record_batch({"k1": own.column(0), "k2": own.column(1), "anchor": pa.array(anchor), "seg": pa.array(seg), "first": pa.array(first.astype("i8")), "n": pa.array(n.astype("i4"))})
+                yield pa.record_batch({"k1": batch.column(0).take(pa.array(row)), "k2": batch.column(1).take(pa.array(row)), "anchor": pa.array(anchor), "seg": pa.array(seg), "first": pa.array(first.astype("i8")), "n": pa.array(n.astype("i4"))})
 
     return texts.select(*text_key(), "text").mapInArrow(cut, SEGMENT)
 
