@@ -114,3 +114,10 @@ def op9_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatt.llm.vectors import near_duplicates
 
     return near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op2_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.weighted import fingerprints
+
+    return fingerprints(table(spark, folder, "documents"))
