@@ -121,3 +121,10 @@ def op2_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatt.llm.weighted import fingerprints
 
     return fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.urls import judge_urls
+
+    return judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
