@@ -5,20 +5,21 @@ Gamma(2, 1) numbers r, c and a uniform b; with weight w it scores ln c - r (floo
 score of the text is the slot's sample. Two texts agree in a slot with the probability of their generalised Jaccard
 similarity, sum of min(w) over sum of max(w); the share of slots that agree estimates it.
 
-The draws come from the bits of one 64-bit hash a word and slot: the gammas as quantiles in 1024 equal steps.
+The draws come from the bits of one 64-bit hash a word and slot: the gammas as quantiles in 256 equal steps.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatt.llm.common import materialize, whole_text
 
 SLOTS = 64
-STEPS = 1024
+STEPS = 256
 SPACE = "[\\x20\\x09-\\x0D]+"
 BUCKETS = 256
 LOWEST = -(1 << 63)
@@ -37,15 +38,15 @@ def gamma_quantiles() -> list[float]:
 
 
 def _table(values: list[float]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.lit(np.array(values))  # one literal, however long
 
 
 def slot_minimum(k: int, logs: list[Column], rates: Column, inverse: Column, shapes: Column) -> list[Column]:
     """The lowest score of slot k for each column of log weights (null: the text doesn't have the word)."""
     h = F.xxhash64("h", F.lit(k))
     at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(STEPS - 1)).cast("int")
-    r, r_inverse, ln_c = F.get(rates, at(0)), F.get(inverse, at(0)), F.get(shapes, at(10))
-    b = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    r, r_inverse, ln_c = F.get(rates, at(0)), F.get(inverse, at(0)), F.get(shapes, at(8))
+    b = F.shiftrightunsigned(h, 16).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
     return [F.min(ln_c - r * (F.floor(ln_w * r_inverse + b) - b + 1)).alias(f"m{i}_{k}") for i, ln_w in enumerate(logs)]
 
 
