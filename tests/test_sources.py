@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatt import constants as K
 from tidewatt.functions import scalar as S
 from tidewatt.operators import evaluate as E
 from tidewatt.operators import panel as P
@@ -171,3 +172,43 @@ def test_sinks(spark, tmp_path):
     assert (text["time_utc"], text["time_key"]) == ("2024-01-31 23:00:00", "2024-01-31:23")
     stations = SF.fallback_stations(spark)
     assert stations.count() == 30 and P.require_columns(stations, ["latitude"]) is stations
+
+
+def test_runs_with_different_headers_keep_their_columns(spark, tmp_path):
+    head = "predict_month,train_rows_used,validation_rows_scored,model,RMSE,MAE,MAPE,BIAS\n"
+    for model, names in (("a", "actual_load_mw,predicted_load_mw"), ("b", "predicted_load_mw,actual_load_mw")):
+        values = "200,100" if model == "a" else "100,200"
+        (tmp_path / f"{model}_2025-01_predictions.csv").write_text(f"region,time_key,time_utc,{names}\npge,2025-01-01:00,2025-01-01 00:00:00,{values}\n")
+        (tmp_path / f"{model}_2025-01_metrics.csv").write_text(head + f"2025-01,1,1,{model},1,1,1,1\n")
+    _, predictions = SF.load_runs(spark, str(tmp_path))
+    assert {(r["actual_load_mw"], r["predicted_load_mw"]) for r in predictions.collect()} == {("200", "100")}
+
+
+def test_panel_files_of_other_columns(spark, tmp_path):
+    (tmp_path / f"{K.DATASET_PREFIX}_20250101_to_20250102.csv").write_text("region,time_utc,load_mw\npge,2025-01-01 00:00:00,5\n")
+    (tmp_path / f"{K.DATASET_PREFIX}_20250103_to_20250104.csv").write_text("time_utc,region,extra\n2025-01-03 00:00:00,sce,x\n")
+    rows = {r["region"]: r for r in SF.read_panel(spark, str(tmp_path)).collect()}
+    assert rows["pge"]["load_mw"] == 5.0 and rows["pge"]["extra"] is None
+    assert rows["sce"]["extra"] == "x" and rows["sce"]["load_mw"] is None
+
+
+def test_local_starts_with_offsets_and_the_repeated_hour(spark):
+    rows = [("PGE", "2025-01-15 00:00:00-08:00", 1.0), ("PGE", "2025-11-02 01:00:00", 2.0), ("PGE", "2025-11-02 01:00:00", 3.0), ("PGE", "2025-11-02 02:00:00", 4.0)]
+    raw = spark.createDataFrame(rows, "`Load Zone` string, `Interval Start-Local` string, load double").coalesce(1).withColumnRenamed("Load Zone", "tac_area_name")
+    got = sorted((r["load_mw"], r["time_utc"].isoformat()) for r in A.standardize_area_long(raw).collect())
+    assert got == [(1.0, "2025-01-15T08:00:00"), (2.0, "2025-11-02T08:00:00"), (3.0, "2025-11-02T09:00:00"), (4.0, "2025-11-02T10:00:00")]
+
+
+def test_total_is_summed_only_where_the_feed_has_none(spark):
+    rows = [("PGE-TAC", "2025-01-15 00:00:00", 1, 10.0), ("SCE-TAC", "2025-01-15 00:00:00", 2, 1.0)]
+    schema = "tac_area_name string, interval_start_utc string, seq int, load double"
+    feed = spark.createDataFrame(rows, schema)
+    assert A.area_feed_to_wide(feed, "seq").first()["caiso"] == 11.0
+    told = spark.createDataFrame([*rows, ("Total", "2025-01-15 00:00:00", 3, 99.0)], schema)
+    assert A.area_feed_to_wide(told, "seq").first()["caiso"] == 99.0
+
+
+def test_metrics_keep_the_month_of_their_run(spark):
+    rows = [("m", "2025-01", "2025-01-31 23:00:00", 1.0, 2.0), ("m", "2025-01", "2025-02-01 00:00:00", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "model string, month string, time_utc string, actual_load_mw double, predicted_load_mw double")
+    assert [r["month"] for r in E.metrics_by_month(E.clean_predictions(df)).collect()] == ["2025-01"]

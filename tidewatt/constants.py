@@ -3,6 +3,8 @@
 # Region codes, the system total first.
 REGIONS = ["caiso", "pge", "sce", "sdge", "vea", "mwd"]
 TOTAL_REGION = "caiso"
+#: Regions that models are trained on unless told otherwise.
+MODEL_REGIONS = ["pge", "sce", "sdge"]
 AREA_REGIONS = ["pge", "sce", "sdge", "vea", "mwd"]
 NO_LOAD_REGION = "mwd"
 

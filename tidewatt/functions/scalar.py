@@ -84,6 +84,10 @@ def hour_ending_to_utc(day: Column, hour_ending: Column, tz: str = K.MARKET_TZ)
 SERIAL_DAY_ZERO = -2209161600  # Fixed value: 1899-12-30 in epoch seconds.
 
 
+#: Date texts beside the ISO forms, in the order in which they are tried.
+DATE_FORMS = ("M/d/yyyy", "M/d/yy", "yyyy/M/d", "d-MMM-yyyy", "d-MMM-yy", "MMM d, yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
+
+
 def coerce_date(text: Column) -> Column:
     """A spreadsheet serial day number or a date text; anything else is null."""
     serial = text.try_cast("double")
@@ -93,7 +97,7 @@ def coerce_date(text: Column) -> Column:
     ).otherwise(
         F.coalesce(
             F.try_to_timestamp(text),
-            F.try_to_timestamp(text, F.lit("M/d/yyyy")),
+            *[F.try_to_timestamp(text, F.lit(form)) for form in DATE_FORMS],
         )
     )
 

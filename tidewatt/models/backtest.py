@@ -16,6 +16,7 @@ from tidewatt.models.seasonal import fit_seasonal_by_region
 from tidewatt.operators import evaluate as E
 from tidewatt.operators import panel as P
 from tidewatt.sources.files import write_run
+from tidewatt.session import NO_TABLE
 
 Model = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -63,9 +64,15 @@ def build_model(name: str, **kw) -> Model:
     return MODELS[name](**kw)
 
 
-def run_month(revised: DataFrame, name: str, month: str, **kw) -> tuple[DataFrame, DataFrame]:
+def modelled(panel: DataFrame, regions: Sequence[str] | None) -> DataFrame:
+    """The panel's rows of the modelled regions; None means all. Regions with loads near zero spoil relative errors, so
+    the usual choice is MODEL_REGIONS; a name that the panel lacks is an error."""
+    return panel if regions is None else P.keep_regions(panel, regions)
+
+
+def run_month(revised: DataFrame, name: str, month: str, regions: Sequence[str] | None = None, **kw) -> tuple[DataFrame, DataFrame]:
     """(predictions with error columns, one metrics row) of one model and month."""
-    data = month_data(revised, month)
+    data = month_data(modelled(revised, regions), month)
     scored = build_model(name, **kw)(data.train, data.valid)
     predictions = E.predictions_frame(
         scored.select(
@@ -103,13 +110,15 @@ def finished_runs(spark: SparkSession, folder: str) -> set[tuple[str, str]]:
     """(model, month) pairs already in the results table."""
     try:
         done = spark.read.parquet(f"{folder}/metrics")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in NO_TABLE:
+            raise
         return set()
     return {(r["model"], str(r["month"])) for r in done.select("model", "month").distinct().collect()}
 
 
 def backtest(
-    revised: DataFrame, models: dict[str, dict], months: Sequence[str], folder: str
+    revised: DataFrame, models: dict[str, dict], months: Sequence[str], folder: str, regions: Sequence[str] | None = None
 ) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """Every model on every month, expanding window; finished pairs are skipped.
 
@@ -119,6 +128,7 @@ def backtest(
     go on. Returns the metrics table and the failures.
     """
     spark = revised.sparkSession
+    revised = modelled(revised, regions)
     done = finished_runs(spark, folder)
     failures = []
     for month in months:
@@ -135,10 +145,10 @@ def backtest(
     return spark.read.parquet(f"{folder}/metrics"), failures
 
 
-def score_next_day(history: DataFrame, next_day: DataFrame, name: str = "ridge", **kw) -> DataFrame:
+def score_next_day(history: DataFrame, next_day: DataFrame, name: str = "ridge", regions: Sequence[str] | None = None, **kw) -> DataFrame:
     """Train on all usable history and score the next day's rows; features they lack count as zero."""
-    train = P.usable_rows(with_calendar(history))
-    ahead = P.usable_next_day(with_calendar(next_day))
+    train = P.usable_rows(with_calendar(modelled(history, regions)))
+    ahead = P.usable_next_day(with_calendar(modelled(next_day, regions)))
     E.require_rows(train, "No historical rows remain after dropping nulls.")
     E.require_rows(ahead, "No next-day rows remain after dropping nulls.")
     scored = build_model(name, **kw)(train, ahead)

@@ -52,11 +52,12 @@ def metrics(df: DataFrame, keys: Sequence[str] = (), actual: str = ACTUAL, predi
 
 
 def metrics_by_month(df: DataFrame) -> DataFrame:
-    """Recomputed metrics of each (model, month), with row count and time bounds."""
+    """Recomputed metrics of each (model, month), with row count and time bounds. The month is the run's own where the
+    rows carry it, else that of their time."""
     m = metric_columns()
     m["MEAN_PREDICTED"] = m.pop("MEAN_FORECAST")
     return (
-        df.withColumn("month", S.year_month(F.col("time_utc")))
+        (df if "month" in df.columns else df.withColumn("month", S.year_month(F.col("time_utc"))))
         .groupBy("model", "month")
         .agg(
             F.count("*").alias("rows"),

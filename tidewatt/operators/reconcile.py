@@ -52,11 +52,12 @@ STRATEGIES = ("a", "b", "a_then_b", "b_then_a")
 
 def choose_source(
     a, b, columns: Sequence[str], strategy: str, keys: Sequence[str] = ("time_utc",)
-) -> tuple[DataFrame, dict[str, int]]:
+) -> tuple[DataFrame, dict[str, int | str]]:
     """Load by source strategy. `a` and `b` are functions that return a source's frame.
 
     The second source is read only when the first misses requested cells or
-    fails. Returns the frame and the counts before, after and filled.
+    fails. Returns the frame and the counts before, after and filled, or why
+    the first source failed.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"Unknown strategy {strategy!r}: expected one of {list(STRATEGIES)}")
@@ -66,8 +67,8 @@ def choose_source(
     try:
         primary = first()
         before = missing_cells(primary, columns)
-    except Exception:
-        return second(), {}
+    except Exception as error:  # whatever a source raises, the other one is there for it
+        return second(), {"first_failed": f"{type(error).__name__}: {error}"}
     if before == 0:
         return primary, {"missing_before": 0, "missing_after": 0, "filled": 0}
     combined = fill_from(primary, second(), K.REGIONS if set(columns) <= set(K.REGIONS) else columns, keys)
@@ -110,11 +111,12 @@ def pivot_mean(long: DataFrame, value: str, regions: Sequence[str] = tuple(K.REG
 def with_total(wide: DataFrame, areas: Sequence[str] = tuple(K.AREA_REGIONS), total: str = K.TOTAL_REGION) -> DataFrame:
     """The total as the sum of the areas, null only where all are null.
 
-    Added only when the total column is absent, as a feed that reports it is
-    to be believed.
+    Added only when no row has a total, as a feed that reports it is to be
+    believed.
     """
     present = [a for a in areas if a in wide.columns]
-    if total in wide.columns or not present:
+    reported = total in wide.columns and not wide.where(F.col(total).isNotNull()).isEmpty()
+    if reported or not present:
         return wide
     summed = reduce(lambda x, y: x + y, [F.coalesce(F.col(a), F.lit(0.0)) for a in present])
     return wide.withColumn(total, F.when(F.coalesce(*present).isNotNull(), summed))

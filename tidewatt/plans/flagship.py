@@ -107,7 +107,7 @@ def next_day_features(
 def compare_monthly_runs(spark: SparkSession, folder: str, metric: str = "RMSE") -> dict[str, DataFrame]:
     """Reported and recomputed metrics of every (model, month) in a run directory, and the monthly ranks."""
     reported, predictions = SF.load_runs(utc(spark), folder)
-    recomputed = E.metrics_by_month(E.clean_predictions(predictions).drop("month"))
+    recomputed = E.metrics_by_month(E.clean_predictions(predictions))
     return {
         "summary": E.metrics_table(reported),
         "recomputed": recomputed,

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What a read says of a table that isn't there yet: no folder, or a folder without a file.
+NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def build_session(app: str = "tidewatt", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; `conf` overrides any of them.
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewatt import constants as K
 from tidewatt.functions import scalar as S
-from tidewatt.operators.ordered import SMALL_SIDE_ROWS, join_small, pick_one
+from tidewatt.operators.ordered import join_small, pick_one
 from tidewatt.operators.panel import keep_last, require_columns
 
 PANEL_TEXT_SCHEMA = "region string, time_key string, time_utc string, " + ", ".join(
@@ -113,7 +115,7 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFra
     )
 
 
-def read_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+def read_headers(spark: SparkSession, folder: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
     """First line of each CSV file as an array of column names. One row per file."""
     lines = (
         spark.read.option("pathGlobFilter", glob)
@@ -134,22 +136,39 @@ RUN_COLUMNS = {
 }
 
 
+def read_by_header(spark: SparkSession, paths: str | Sequence[str], files: DataFrame, glob: str = "*.csv") -> DataFrame:
+    """Rows of the files that `files` (file_name, header, ...) names, as text, every file under its own header.
+
+    Files of one header are read together: there are as many scans as different headers. A column that only some
+    files have is null in the others. Adds the columns of `files` but the header, and each row's place: `file_path`,
+    `block_start` (splits of a file order by their start) and `row_no` (rows inside a split).
+    """
+    headers = [r["header"] for r in files.select("header").distinct().collect()]  # shapes of files, not files
+    own = [c for c in files.columns if c != "header"]
+    parts = []
+    for header in headers:
+        named = StructType([StructField(c, StringType()) for c in header])
+        raw = spark.read.option("header", True).option("pathGlobFilter", glob).schema(named).csv(paths)
+        raw = raw.select(
+            *[F.col(f"`{c}`") for c in header if c not in own],
+            F.col("_metadata.file_name").alias("file_name"),
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+        ).withColumn("row_no", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        alike = files.where(F.col("header") == F.array(*[F.lit(c) for c in header])).drop("header")
+        parts.append(join_small(raw, alike, ["file_name"]))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
 def _read_runs(spark: SparkSession, folder: str, picked: DataFrame, kind: str, glob: str) -> DataFrame:
     """Rows of the picked files as text, with their place in the file. The picked list has one row per file."""
-    raw = (
-        spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", glob)
-        .csv(folder)
-        .select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("__at"))
-        # Splits of a file order by their start, rows inside a split by their id.
-        .withColumn("row_no", F.struct("__at", F.monotonically_increasing_id().alias("id")))
-    )
-    held = [c for c in RUN_COLUMNS[kind] if c in raw.columns]
+    own = [c for c in picked.columns if c != "header"]
+    renamed = picked.withColumnsRenamed({c: f"__{c}" for c in own if c != "file_name"})
+    raw = read_by_header(spark, folder, renamed, glob).withColumn("row_no", F.struct("block_start", "row_no"))
+    held = [F.col(c) for c in RUN_COLUMNS[kind] if c in raw.columns]
     if "model" in raw.columns:
-        raw = raw.withColumnRenamed("model", "row_model")
-        held.append("row_model")
-    return join_small(raw.drop("month"), picked, ["file_name"]).select(*picked.columns, "row_no", *held)
+        held.append(F.col("model").alias("row_model"))
+    return raw.select("file_name", *[F.col(f"__{c}").alias(c) for c in own if c != "file_name"], "row_no", *held)
 
 
 def load_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +176,7 @@ def load_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     chosen = classify_run_files(read_headers(spark, folder))
     out = []
     for kind in ("metrics", "predictions"):
-        picked = chosen.where(F.col("kind") == kind).select("file_name", "model", "month")
+        picked = chosen.where(F.col("kind") == kind).select("file_name", "header", "model", "month")
         if picked.isEmpty():
             raise ValueError(f"No {kind} files were found in {folder}")
         out.append(_read_runs(spark, folder, picked, kind, f"*_{kind}.csv"))
@@ -173,11 +192,8 @@ def load_model_runs(spark: SparkSession, folder: str) -> tuple[DataFrame | None,
     chosen = classify_model_files(read_headers(spark, folder))
     sides: dict[str, DataFrame | None] = {}
     for kind in ("metrics", "predictions"):
-        picked = chosen.where(F.col("kind") == kind).select("file_name", "model")
-        # Read each kind on its own list, as files of different shape cannot share one header.
-        names = [r["file_name"] for r in picked.select("file_name").limit(SMALL_SIDE_ROWS).collect()]
-        glob = "{" + ",".join(names) + "}"
-        sides[kind] = _read_runs(spark, folder, picked, kind, glob) if names else None
+        picked = chosen.where(F.col("kind") == kind).select("file_name", "header", "model")
+        sides[kind] = None if picked.isEmpty() else _read_runs(spark, folder, picked, kind, "*.csv")
     if sides["metrics"] is None and sides["predictions"] is None:
         raise ValueError("No recognized metrics or predictions files were found")
     if sides["metrics"] is not None:
@@ -209,17 +225,9 @@ def bad_times(raw: DataFrame) -> DataFrame:
 
 
 def read_panel(spark: SparkSession, paths: str | Sequence[str], glob: str = DATASET_GLOB, strict: bool = True) -> DataFrame:
-    """Panel CSV files, with the file's span and the row's place in it as ordering columns."""
-    raw = (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .option("pathGlobFilter", glob)
-        .schema(PANEL_TEXT_SCHEMA)
-        .csv(paths)
-        .select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"))
-        # Rows of one split are numbered in file order, and splits order by their start.
-        .withColumn("row_no", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
+    """Panel CSV files of any columns (region and time_utc among them), with the file's span and the row's place in it
+    as ordering columns."""
+    raw = read_by_header(spark, paths, read_headers(spark, paths, glob), glob)
     return parse_panel(with_file_span(raw), strict)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tidewatt.functions.holidays import with_calendar_flags
 from tidewatt.operators import panel as P
+from tidewatt.session import NO_TABLE
 
 DAY = "day"
 
@@ -23,7 +24,9 @@ def read_table(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
         # The day stays text, so that it prunes partitions by plain equality.
         return spark.read.parquet(folder).withColumn(DAY, F.col(DAY).cast("string"))
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in NO_TABLE:
+            raise
         return None
 
 
