@@ -12,10 +12,11 @@ from tidewatt.plans import fixtures as X
 from tidewatt.plans.calendar_queries import FEDERAL_RULES, STATE_RULES
 from tidewatt.plans.registry import query
 
-# `signup` stands in for the region without load; `click` starts late, so that all reasons occur.
+# `signup` stands in for the region without load; the rows of `click` are moved on and those of `view` back, so that
+# regions start and end apart and all reasons occur.
 GAPPY = X.PANEL + """, gappy as (
-  select region, time_utc, ord, load_mw from panel
-  where not (region = 'click' and time_utc < timestamp '2024-01-04') and not (region = 'view' and time_utc >= timestamp '2024-01-20'))"""
+  select region, case region when 'click' then time_utc + interval 3 day when 'view' then time_utc - interval 11 day else time_utc end as time_utc,
+    ord, load_mw from panel)"""
 
 MISSING = GAPPY + """, kept as (select * from gappy where region <> 'signup'),
 bounds as (select region, min(time_utc) as region_start, max(time_utc) as region_end from kept group by region),
@@ -38,9 +39,8 @@ dist as (select *, date_diff('second', region_start, time_utc) / 3600.0 as h fro
 
 
 def gappy(spark, sf):
-    return X.panel(spark, sf).where(
-        "not (region = 'click' and time_utc < timestamp'2024-01-04') and not (region = 'view' and time_utc >= timestamp'2024-01-20')"
-    )
+    moved = "case region when 'click' then time_utc + interval 3 day when 'view' then time_utc - interval 11 day else time_utc end"
+    return X.panel(spark, sf).withColumn("time_utc", F.expr(moved))
 
 
 def reasoned(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatt.functions import scalar as S
 from tidewatt.operators import panel as P
 from tidewatt.operators import weather as W
+from tidewatt.operators.ordered import join_small
 from tidewatt.plans import fixtures as X
 from tidewatt.plans.registry import query
 from tidewatt.sources import files as SF
@@ -91,7 +92,7 @@ WEIGHTED = f"""{X.STATION_WEATHER}, w as (select s.*, s.station_id / 10.0 as wt
 def weighted(spark, sf):
     """Station hours with weights station_id / 10, which sum to one per region."""
     weights = W.normalize_weights(X.station_weights(spark, sf), "raw_weight")
-    return X.station_weather(spark, sf).join(weights, ["region", "station_id"])
+    return join_small(X.station_weather(spark, sf), weights, ["region", "station_id"])
 
 
 VALUES = ["temperature_2m", "cloud_cover"]
@@ -133,7 +134,7 @@ def _(spark, sf):
     weights = X.station_weights(spark, sf)
     total = weights.agg(F.sum("raw_weight")).scalar()
     shared = weights.withColumn("raw_weight", F.col("raw_weight") / total)
-    joined = X.station_weather(spark, sf).join(shared, ["region", "station_id"])
+    joined = join_small(X.station_weather(spark, sf), shared, ["region", "station_id"])
     return rounded(W.weighted_mean_zero_fill(joined, VALUES, "raw_weight", ["time_utc"]))
 
 
