@@ -193,7 +193,7 @@ def test_records_round_trip(spark, docs, nothing, tmp_path):
 
     path = tokenizer_file("byte_bpe_50k.json")
     written = write_records(docs, path, 2, folder=str(tmp_path / "set"), shards=3)
-    rows = rows_of(records_digest(spark, written))
+    rows = rows_of(records_digest(spark, written), "start")
     library, start = Tokenizer.from_file(path), 0
     for r, (i, t) in zip(rows, sorted(((i, text(t)) for i, t, _ in ODD), key=lambda x: (x[0] is not None, x[0] or 0))):
         ids = [*library.encode(t, add_special_tokens=False).ids, 2]

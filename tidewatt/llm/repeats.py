@@ -243,7 +243,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     texts = docs.select(whole_text(text_col).alias("text"))
     places = materialize(segments(texts, length), "places")
     twice = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).where("all > 1")
-    found = materialize(places.join(twice.select("anchor", F.expr("s1 <> s2").alias("several")), "anchor"), "repeated")
+    # Written first, so that both sides of the join are plain shuffles and a hot anchor's places can be split.
+    twice = materialize(twice.select("anchor", F.expr("s1 <> s2").alias("several")), "twice")
+    found = materialize(places.join(twice, "anchor"), "repeated")
 
     # Anchors whose segments are all equal: every window of theirs repeats. The others: see which windows do.
     whole = found.where("not several").select("k1", "k2", F.col("first").alias("from"), (F.col("first") + F.col("n") - 1 + length).alias("to"))
