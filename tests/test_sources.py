@@ -212,3 +212,22 @@ def test_metrics_keep_the_month_of_their_run(spark):
     rows = [("m", "2025-01", "2025-01-31 23:00:00", 1.0, 2.0), ("m", "2025-01", "2025-02-01 00:00:00", 1.0, 2.0)]
     df = spark.createDataFrame(rows, "model string, month string, time_utc string, actual_load_mw double, predicted_load_mw double")
     assert [r["month"] for r in E.metrics_by_month(E.clean_predictions(df)).collect()] == ["2025-01"]
+
+
+def test_sheet_ties_go_by_place_in_the_workbook(spark):
+    def sheet(book, book_no, name, no, load):
+        head, row = ["date", "hr", "pge"], ["2025-01-01", "1", load]
+        return [(book, book_no, name, no, i, c) for i, c in enumerate((head, row))]
+
+    rows = sheet("z", 0, "b", 0, "1") + sheet("z", 0, "a", 1, "2") + sheet("y", 1, "s", 0, "3")
+    cells = spark.createDataFrame(rows, "workbook string, workbook_no int, sheet string, sheet_no int, row_idx int, cells array<string>")
+    assert SH.merge_workbooks(cells).first()["pge"] == 1.0
+    assert SH.merge_workbooks(cells.drop("sheet_no", "workbook_no")).first()["pge"] == 3.0
+
+
+def test_dataset_is_found_again_by_its_span(spark, tmp_path):
+    panel = spark.createDataFrame([("pge", datetime(2025, 1, 1), 5.0), ("pge", datetime(2025, 1, 3, 4), 6.0)], "region string, time_utc timestamp, load_mw double")
+    path = SF.write_dataset(panel, str(tmp_path))
+    assert path.endswith(f"{K.DATASET_PREFIX}_20250101_to_20250103.csv")
+    back = SF.read_dataset(spark, path).collect()
+    assert sorted((r["time_utc"], r["load_mw"], str(r["end_date"])) for r in back) == [(datetime(2025, 1, 1), 5.0, "2025-01-03"), (datetime(2025, 1, 3, 4), 6.0, "2025-01-03")]

@@ -282,6 +282,27 @@ def write_panel(panel: DataFrame, folder: str, fmt: str = "parquet") -> None:
     )
 
 
+def write_dataset(panel: DataFrame, folder: str, prefix: str = K.DATASET_PREFIX) -> str:
+    """The panel as CSV in a folder named by its span, `prefix_YYYYMMDD_to_YYYYMMDD.csv`; returns the folder.
+
+    `read_dataset` reads it back with its span.
+    """
+    first, last = panel.agg(*[F.date_format(f("time_utc"), "yyyyMMdd") for f in (F.min, F.max)]).first()
+    if first is None:
+        raise ValueError("No rows to write: the span is empty")
+    path = f"{folder.rstrip('/')}/{prefix}_{first}_to_{last}.csv"
+    panel_text(panel).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def read_dataset(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """A folder that `write_dataset` wrote, with the span of its name as ordering columns."""
+    files = read_headers(spark, path)
+    raw = read_by_header(spark, path, files)
+    named = raw.withColumn("file_name", F.lit(path.rstrip("/").rsplit("/", 1)[-1]))
+    return parse_panel(with_file_span(named), strict)
+
+
 def write_run(predictions: DataFrame, metrics: DataFrame, folder: str, model: str, month: str) -> None:
     """Predictions and metrics of one run, each under its (model, month) partition."""
     tag = {"model": F.lit(model), "month": F.lit(month)}

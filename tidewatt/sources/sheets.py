@@ -1,6 +1,7 @@
 """Workbook sheets, given as rows of cells, to hourly load.
 
-Input columns: workbook, sheet, row_idx (0-based), cells (array of text).
+Input columns: workbook, sheet, row_idx (0-based), cells (array of text); also sheet_no (place in its workbook) and
+workbook_no (place among the links) where they are known: ties and merges then go by place, else by name.
 """
 
 from __future__ import annotations
@@ -88,19 +89,31 @@ def parse_sheets(cells: DataFrame, regions: Sequence[str] = tuple(K.REGIONS)) ->
     )
 
 
-def best_sheets(parsed: DataFrame) -> DataFrame:
+def places(cells: DataFrame) -> DataFrame:
+    """Place of each sheet and its workbook, null where the cells don't say."""
+    known = [F.min(c).alias(c) if c in cells.columns else F.lit(None).cast("int").alias(c) for c in ("workbook_no", "sheet_no")]
+    return cells.groupBy(*SHEET).agg(*known) if {"workbook_no", "sheet_no"} & set(cells.columns) else cells.select(*SHEET).distinct().select(*SHEET, *known)
+
+
+def best_sheets(parsed: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """The richest sheet of each workbook: most load columns, then most rows, then sheet order."""
     size = parsed.groupBy(*SHEET).agg(F.max("n_load_cols").alias("n_load_cols"), F.count("*").alias("sheet_rows"))
-    return pick_one(
-        size, ["workbook"], [F.col("n_load_cols").desc(), F.col("sheet_rows").desc(), F.col("sheet")]
-    )
+    order = [F.col("n_load_cols").desc(), F.col("sheet_rows").desc()]
+    if placed is not None:
+        size, order = size.join(placed.select(*SHEET, "sheet_no"), SHEET), [*order, F.col("sheet_no")]
+    return pick_one(size, ["workbook"], [*order, F.col("sheet")])
 
 
 def merge_workbooks(cells: DataFrame, regions: Sequence[str] = tuple(K.REGIONS), prefer: str = "first") -> DataFrame:
     """Load by hour over all workbooks: the best sheet of each, first non-null in workbook order."""
     parsed = parse_sheets(cells, regions)
-    best = best_sheets(parsed).select(*SHEET)
-    return coalesce_parts(join_small(parsed, best, SHEET), regions, "workbook", ["time_utc"], prefer)
+    if not {"workbook_no", "sheet_no"} & set(cells.columns):
+        best = best_sheets(parsed).select(*SHEET)
+        return coalesce_parts(join_small(parsed, best, SHEET), regions, "workbook", ["time_utc"], prefer)
+    placed = places(cells)
+    best = best_sheets(parsed, placed).select(*SHEET).join(placed, SHEET)
+    order = F.struct(F.coalesce("workbook_no", F.lit(-1)), F.col("workbook"))
+    return coalesce_parts(join_small(parsed, best, SHEET).withColumn("__order", order), regions, "__order", ["time_utc"], prefer)
 
 
 def sheet_audit(cells: DataFrame, regions: Sequence[str] = tuple(K.REGIONS)) -> DataFrame:
