@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatt.llm.common import ChunkTable, kept_by_worker, slices, whole_text
+from tidewatt.llm.common import ChunkTable, slices, whole_text
 
 MARKER = "▁"
 #: A character in bytes scores this much below the worst piece.
@@ -225,12 +224,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     the vocabulary, not the data.
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, build_trie(pieces)))
-    name = f"codec_{uuid.uuid4().hex}"
     keep = list(keep)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("_text"), *keep)
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept_by_worker(name, lambda: Codec(*shared.value))
+        codec = Codec(*shared.value)  # its table of words goes with the task: later stages need the memory
         first = np.array(codec.pieces.byte_ids)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
@@ -258,10 +256,9 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """doc_id and text of rows of (doc_id, ids)."""
     spark: SparkSession = encoded.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
-    name = f"decoder_{uuid.uuid4().hex}"
 
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept_by_worker(name, lambda: Codec(shared.value, Trie(np.zeros(1, "i4"), np.full(1, -1, "i4"), np.full(1, -1, "i4"), 1)))
+        codec = Codec(shared.value, Trie(np.zeros(1, "i4"), np.full(1, -1, "i4"), np.full(1, -1, "i4"), 1))
         for batch in slices(batches):
             yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array([codec.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())})
 
