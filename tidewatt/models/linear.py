@@ -61,14 +61,16 @@ def fit_eps_insensitive(
     target: str = "load_mw",
     c: float = 1.0,
     epsilon: float = 0.1,
-    max_iter: int = 25,
+    max_iter: int = 5_000,
     tolerance: float = 1e-6,
 ) -> Predict:
     """Linear fit that ignores errors up to `epsilon` and counts the rest linearly.
 
     Minimises |w|^2 / 2 + c * sum(max(0, |y - xw| - epsilon)) by reweighted
     normal equations; each step is one aggregate over the rows and a solve of
-    the size of the feature list.
+    the size of the feature list, until no weight moves by more than
+    `tolerance` of the largest. `converged` of the returned function says
+    whether that happened within `max_iter` steps.
     """
     with cached(train) as kept:
         features = fit_features(kept)
@@ -80,12 +82,14 @@ def fit_eps_insensitive(
         size = start.xtx.shape[0]
         weights = np.linalg.solve(start.xtx + np.eye(size), start.xty)
         floor = max(1e-6 * float(np.sqrt(start.yty / max(start.n, 1))), 1e-9)
+        converged = False
         for _ in range(max_iter):
             step = gram(rows, _reweight(weights, c, epsilon, floor))
             new = np.linalg.solve(step.xtx + np.eye(size), step.xty)
             moved = float(np.abs(new - weights).max())
             weights = new
-            if moved <= tolerance * max(1.0, float(np.abs(weights).max())):
+            converged = moved <= tolerance * max(1.0, float(np.abs(weights).max()))
+            if converged:
                 break
     coefficients = [float(w) for w in weights]
 
@@ -93,6 +97,7 @@ def fit_eps_insensitive(
         x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
         return features(df).withColumn("predicted_load_mw", dot(x, F.lit(coefficients))).drop("features")
 
+    predict.converged = converged
     return predict
 
 

@@ -119,25 +119,25 @@ def _(spark, sf):
 @query("fit_eps_insensitive")
 def _(spark, sf):
     d = data(spark, sf)
-    return linear.fit_eps_insensitive(d.train, max_iter=8)(d.valid).select(*OUT)
+    return linear.fit_eps_insensitive(d.train)(d.valid).select(*OUT)
 
 
 @query("fit_gbt")
 def _(spark, sf):
     d = data(spark, sf)
-    return trees.fit_boosted(d.train, n_estimators=8)(d.valid).select(*OUT)
+    return trees.fit_boosted(d.train)(d.valid).select(*OUT)
 
 
 @query("fit_rf")
 def _(spark, sf):
     d = data(spark, sf)
-    return trees.fit_forest(d.train, n_estimators=8, max_depth=8)(d.valid).select(*OUT)
+    return trees.fit_forest(d.train)(d.valid).select(*OUT)
 
 
 @query("fit_gbt_shallow")
 def _(spark, sf):
     d = data(spark, sf)
-    return trees.fit_boosted_shallow(d.train, n_estimators=8)(d.valid).select(*OUT)
+    return trees.fit_boosted_shallow(d.train)(d.valid).select(*OUT)
 
 
 @query("fit_additive")
