@@ -41,28 +41,34 @@ def _table(values: list[float]) -> Column:
     return F.lit(np.array(values))  # one literal, however long
 
 
-def slot_minimum(k: int, logs: list[Column], rates: Column, inverse: Column, shapes: Column) -> list[Column]:
-    """The lowest score of slot k for each column of log weights (null: the text doesn't have the word)."""
+def slot_minima(k: int, sides: int, rates: Column, inverse: Column, shapes: Column) -> list[Column]:
+    """The lowest score of slot k for each side; `far{i}` is infinite where a row does not count for side i."""
     h = F.xxhash64("h", F.lit(k))
     at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(STEPS - 1)).cast("int")
     r, r_inverse, ln_c = F.get(rates, at(0)), F.get(inverse, at(0)), F.get(shapes, at(8))
     b = F.shiftrightunsigned(h, 16).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
-    return [F.min(ln_c - r * (F.floor(ln_w * r_inverse + b) - b + 1)).alias(f"m{i}_{k}") for i, ln_w in enumerate(logs)]
+    score = ln_c - r * (F.floor(F.col("ln_w") * r_inverse + b) - b + 1)
+    return [F.min(score + F.col(f"far{i}")).alias(f"m{i}_{k}") for i in range(sides)]
 
 
 def signatures(words: DataFrame, keys: list[str], weights: list[str], slots: int = SLOTS) -> DataFrame:
-    """keys, s0, s1, ...: one array of `slots` ints for each weight column.
+    """keys, s0, s1: an array of `slots` ints for each of two weight columns, -1 everywhere where a side has no word.
 
     `words`: (keys, h, weights), one row a word of a text, weight 0 where the text lacks it; a word's rows are summed.
-    Partitioned by `keys`, nothing is shuffled.
+    A word of one weight on both sides is scored once for both. Partitioned by `keys`, nothing is shuffled.
     """
     gammas = gamma_quantiles()
     rates, inverse, shapes = _table(gammas), _table([1 / g for g in gammas]), _table([math.log(g) for g in gammas])
     counted = words.groupBy(*keys, "h").agg(*[F.sum(w).alias(w) for w in weights])
-    logs = counted.select(*keys, "h", *[F.when(F.col(w) > 0, F.ln(w)).alias(f"ln_{w}") for w in weights])
-    mins = [m for k in range(slots) for m in slot_minimum(k, [F.col(f"ln_{w}") for w in weights], rates, inverse, shapes)]
-    lowest = logs.groupBy(*keys).agg(*mins)
-    return lowest.select(*keys, *[F.array(*[F.xxhash64(F.lit(k), f"m{i}_{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(slots)]).alias(f"s{i}") for i in range(len(weights))])
+    o, e = (F.col(w) for w in weights)
+    near, far = F.lit(0.0), F.lit(float("inf"))
+    side = lambda w, far0, far1: F.struct(w.alias("w"), far0.alias("far0"), far1.alias("far1"))
+    sides = F.when(o == e, F.array(side(o, near, near))).when(e == 0, F.array(side(o, near, far))).when(o == 0, F.array(side(e, far, near)))
+    rows = counted.select(*keys, "h", F.explode(sides.otherwise(F.array(side(o, near, far), side(e, far, near)))).alias("s"))
+    logs = rows.select(*keys, "h", F.ln("s.w").alias("ln_w"), "s.far0", "s.far1")
+    lowest = logs.groupBy(*keys).agg(*[m for k in range(slots) for m in slot_minima(k, 2, rates, inverse, shapes)])
+    sample = lambda i, k: F.when(F.col(f"m{i}_{k}") == far, F.lit(-1)).otherwise(F.xxhash64(F.lit(k), f"m{i}_{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return lowest.select(*keys, *[F.array(*[sample(i, k) for k in range(slots)]).alias(f"s{i}") for i in range(2)])
 
 
 def likeness(a: Column, b: Column) -> Column:
