@@ -131,7 +131,7 @@ def _(spark, sf):
 @query("fit_rf")
 def _(spark, sf):
     d = data(spark, sf)
-    return trees.fit_forest(d.train)(d.valid).select(*OUT)
+    return trees.fit_forest(d.train, max_depth=10)(d.valid).select(*OUT)
 
 
 @query("fit_gbt_shallow")
