@@ -131,6 +131,22 @@ def test_fingerprints_estimate_the_generalised_jaccard(spark):
     assert rows[10]["fingerprint"] == rows[11]["fingerprint"] and rows[11]["near_next"] == 1.0
 
 
+def test_fingerprints_of_long_texts_estimate_the_generalised_jaccard(spark):
+    from tidewatt.llm.weighted import fingerprints
+
+    rng, n = np.random.default_rng(8), 12
+    p = 1 / np.arange(1, 40_001)
+    made = [(i, " ".join(f"w{x}" for x in rng.choice(40_000, 20_000, p=p / p.sum()))) for i in range(n)]
+    off = []
+    for r in fingerprints(spark.createDataFrame(made, "doc_id long, text string").repartition(n)).collect():
+        t, after = made[r["doc_id"]][1], made[(r["doc_id"] - 1) % n][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        for other, got in ((edited, r["near_edited"]), (after, r["near_next"])):
+            a, b = Counter(t.split()), Counter(other.split())
+            off.append(got - sum((a & b).values()) / sum((a | b).values()))
+    assert len(off) == 2 * n and abs(np.mean(off)) < 0.05 and np.sqrt(np.mean(np.square(off))) < 0.1
+
+
 def test_fingerprints_stay_in_the_jvm(docs):
     from tidewatt.llm.weighted import fingerprints
 

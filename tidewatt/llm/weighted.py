@@ -5,49 +5,35 @@ Gamma(2, 1) numbers r, c and a uniform b; with weight w it scores ln c - r (floo
 score of the text is the slot's sample. Two texts agree in a slot with the probability of their generalised Jaccard
 similarity, sum of min(w) over sum of max(w); the share of slots that agree estimates it.
 
-The draws come from the bits of one 64-bit hash a word and slot: the gammas as quantiles in 256 equal steps.
+The draws come from the bits of two 64-bit hashes a word and slot: a gamma is -ln(u1 u2) of two uniforms, so its tails,
+where the lowest score of a long text lies, are as fine as its middle.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatt.llm.common import materialize, whole_text
 
 SLOTS = 64
-STEPS = 256
 SPACE = "[\\x20\\x09-\\x0D]+"
 BUCKETS = 256
 LOWEST = -(1 << 63)
 
 
-def gamma_quantiles() -> list[float]:
-    """Quantiles of Gamma(2, 1) in the middle of each of STEPS equal steps, by halving: its distribution is 1 - (1 + x) exp(-x)."""
-    out = []
-    for i in range(STEPS):
-        p, lo, hi = (i + 0.5) / STEPS, 0.0, 40.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if 1 - (1 + mid) * math.exp(-mid) < p else (lo, mid)
-        out.append((lo + hi) / 2)
-    return out
-
-
-def _table(values: list[float]) -> Column:
-    return F.lit(np.array(values))  # one literal, however long
+def uniform(h: Column, shift: int, bits: int) -> Column:
+    """A number within (0, 1), never 0 or 1, from `bits` bits of a hash."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(0.5**bits)
 
 
-def slot_minima(k: int, sides: int, rates: Column, inverse: Column, shapes: Column) -> list[Column]:
+def slot_minima(k: int, sides: int) -> list[Column]:
     """The lowest score of slot k for each side; `far{i}` is infinite where a row does not count for side i."""
-    h = F.xxhash64("h", F.lit(k))
-    at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(STEPS - 1)).cast("int")
-    r, r_inverse, ln_c = F.get(rates, at(0)), F.get(inverse, at(0)), F.get(shapes, at(8))
-    b = F.shiftrightunsigned(h, 16).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
-    score = ln_c - r * (F.floor(F.col("ln_w") * r_inverse + b) - b + 1)
+    rate, shape = F.xxhash64("h", F.lit(2 * k)), F.xxhash64("h", F.lit(2 * k + 1))
+    r = -F.ln(uniform(rate, 0, 21) * uniform(rate, 21, 21))
+    ln_c = F.ln(-F.ln(uniform(shape, 0, 32) * uniform(shape, 32, 32)))
+    b = uniform(rate, 42, 22)
+    score = ln_c - r * (F.floor(F.col("ln_w") / r + b) - b + 1)
     return [F.min(score + F.col(f"far{i}")).alias(f"m{i}_{k}") for i in range(sides)]
 
 
@@ -57,8 +43,6 @@ def signatures(words: DataFrame, keys: list[str], weights: list[str], slots: int
     `words`: (keys, h, weights), one row a word of a text, weight 0 where the text lacks it; a word's rows are summed.
     A word of one weight on both sides is scored once for both. Partitioned by `keys`, nothing is shuffled.
     """
-    gammas = gamma_quantiles()
-    rates, inverse, shapes = _table(gammas), _table([1 / g for g in gammas]), _table([math.log(g) for g in gammas])
     counted = words.groupBy(*keys, "h").agg(*[F.sum(w).alias(w) for w in weights])
     o, e = (F.col(w) for w in weights)
     near, far = F.lit(0.0), F.lit(float("inf"))
@@ -66,7 +50,7 @@ def signatures(words: DataFrame, keys: list[str], weights: list[str], slots: int
     sides = F.when(o == e, F.array(side(o, near, near))).when(e == 0, F.array(side(o, near, far))).when(o == 0, F.array(side(e, far, near)))
     rows = counted.select(*keys, "h", F.explode(sides.otherwise(F.array(side(o, near, far), side(e, far, near)))).alias("s"))
     logs = rows.select(*keys, "h", F.ln("s.w").alias("ln_w"), "s.far0", "s.far1")
-    lowest = logs.groupBy(*keys).agg(*[m for k in range(slots) for m in slot_minima(k, 2, rates, inverse, shapes)])
+    lowest = logs.groupBy(*keys).agg(*[m for k in range(slots) for m in slot_minima(k, 2)])
     sample = lambda i, k: F.when(F.col(f"m{i}_{k}") == far, F.lit(-1)).otherwise(F.xxhash64(F.lit(k), f"m{i}_{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return lowest.select(*keys, *[F.array(*[sample(i, k) for k in range(slots)]).alias(f"s{i}") for i in range(2)])
 
