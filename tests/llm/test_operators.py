@@ -379,6 +379,41 @@ def test_prefix_counts_are_the_library_s(spark, docs, nothing):
     assert prefix_counts(nothing, path).count() == 0
 
 
+def test_prefix_counts_inside_long_runs():
+    from tokenizers import Tokenizer
+
+    from tidewatt.llm.tokencount import PrefixCounter, at_prefix
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), PrefixCounter(path)
+    rng = np.random.default_rng(2)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    runs = [
+        "".join(drawn("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", 600)),
+        "the" * 30 + drawn("aeinorst", 600),
+        "a" * 600,
+        drawn("\u6587\u5b57\u5217\u7684\u4e00\u662f\u6709", 600),
+        "9" + "".join(rng.choice(["'ll", "'l", "x", "&&", "e\u0323\u0301", "\u0130", "<|endoftext|>", "<|endof", "9", "\u1112\u1161\u11ab"], 300)),
+        "=-" * 300 + "it's",
+    ]
+    for run in runs:
+        t = "so " + run + " end"
+        steps, n = counter(t)
+        want = [len(e.ids) for e in library.encode_batch([t[:i] for i in range(len(t) + 1)], add_special_tokens=False)]
+        assert len(run) >= 600 and at_prefix(steps, len(t)).tolist() == want and n == want[-1]
+    steps, n = counter("a1" * 20_000)
+    assert n == 40_000 and np.array_equal(at_prefix(steps, 40_000), np.arange(40_001))
+
+
+def test_a_step_may_be_wider_than_two_bytes(monkeypatch):
+    from tidewatt.llm.tokencount import PrefixCounter, at_prefix
+
+    counter = PrefixCounter(tokenizer_file("word_bpe_49k.json"))
+    monkeypatch.setattr(counter, "_counts", lambda word: [40_000 * len(word)] * len(word))
+    steps, n = counter("ab cd")
+    assert n == 160_000 and at_prefix(steps, 5).tolist() == [0, 80_000, 80_000, 80_000, 160_000, 160_000]
+
+
 # --- vectors
 
 
