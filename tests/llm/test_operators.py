@@ -355,6 +355,25 @@ def test_unigram_paths_are_the_best_and_decode(spark, docs, nothing):
     assert unigram.encode(nothing, pieces).count() == 0
 
 
+def test_a_unigram_model_keeps_its_scores(tmp_path):
+    from sentencepiece import SentencePieceProcessor, SentencePieceTrainer
+
+    from tidewatt.llm import unigram
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeirstn"), rng.integers(2, 9))) for _ in range(300)]
+    lines = [" ".join(rng.choice(words, 12)) for _ in range(400)]
+    SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=str(tmp_path / "small"), model_type="unigram", vocab_size=420, byte_fallback=True, normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=2)
+    sp = SentencePieceProcessor(model_file=str(tmp_path / "small.model"))
+    pieces = unigram.load_pieces(str(tmp_path / "small.model"))
+    codec = unigram.Codec(pieces, unigram.build_trie(pieces))
+    assert all(pieces.scores[i] == sp.get_score(i) for i, t in enumerate(pieces.texts) if t)
+    for line in lines[:40]:
+        (ids,) = codec.encode([line])
+        theirs = sp.encode(line)
+        assert sum(pieces.scores[i] for i in ids) == pytest.approx(sum(sp.get_score(i) for i in theirs), rel=1e-5)
+
+
 # --- token counts
 
 

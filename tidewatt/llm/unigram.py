@@ -5,7 +5,8 @@ with the highest sum of log scores; a character that no piece covers becomes the
 at a score below every piece. Decoding joins the pieces, collects byte pieces into UTF-8, and turns markers back into
 spaces. Equal sums: the path whose last piece is longest wins, then so on towards the front.
 
-Piece files that carry merge ranks instead of probabilities get Zipf scores: the piece of rank r scores -ln(r + 1).
+The scores of a unigram model file are its own. Files of other models carry merge ranks instead of probabilities and get
+Zipf scores: the piece of rank r scores -ln(r + 1).
 """
 
 from __future__ import annotations
@@ -41,14 +42,17 @@ class Pieces:
 
 def load_pieces(model: str) -> Pieces:
     """Pieces of a sentencepiece model file. Control and unknown pieces never match and decode to nothing."""
-    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
     sp = SentencePieceProcessor(model_file=model)
     n = sp.get_piece_size()
     usable = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)) for i in range(n)]
     texts = [sp.id_to_piece(i) if usable[i] else "" for i in range(n)]
-    ranks = {i: r for r, i in enumerate(sorted((i for i in range(n) if usable[i]), key=lambda i: (-sp.get_score(i), i)))}
     byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    told = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto()).trainer_spec
+    if told.model_type == told.UNIGRAM:
+        return Pieces(texts, [sp.get_score(i) if usable[i] else 0.0 for i in range(n)], byte_ids)
+    ranks = {i: r for r, i in enumerate(sorted((i for i in range(n) if usable[i]), key=lambda i: (-sp.get_score(i), i)))}
     return Pieces(texts, [-math.log(ranks[i] + 1) if usable[i] else 0.0 for i in range(n)], byte_ids)
 
 
