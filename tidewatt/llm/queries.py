@@ -128,3 +128,44 @@ def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     from tidewatt.llm.urls import judge_urls
 
     return judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.audit import filter_audit
+
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SQL["op11_filter_audit"] = r"""
+with d as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+    from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (
+    select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+        (len(words) < 100)::int + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int
+        + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::int
+        + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * (coalesce(d.doc_id > min(d.doc_id) over (partition by t), false))::int as mask
+    from d left join l using (doc_id)),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit),
+o as (
+    select a.f || b.f || c.f || d.f || e.f as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+    from f a join f b on b.f <> a.f join f c on c.f not in (a.f, b.f) join f d on d.f not in (a.f, b.f, c.f)
+    join f e on e.f not in (a.f, b.f, c.f, d.f)),
+s as (
+    select filter_order, step::int as step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as earlier
+    from o, unnest(range(1, 6)) as u(step)),
+r as (
+    select part, filter_order, step, bit,
+        count(*) filter (mask & (earlier | bit) = 0) as kept,
+        count(*) filter (mask & bit <> 0 and mask & earlier = 0) as removed,
+        count(*) filter (mask & bit <> 0 and mask & earlier <> 0) as redundant,
+        count(*) filter (mask = bit) as unique_fails,
+        count(*) filter (mask & bit <> 0 and mask & earlier = 0 and good = 1) as good_lost,
+        count(*) filter (mask & bit <> 0 and mask & earlier = 0 and toxic = 1) as toxic_lost
+    from m cross join s group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from r
+"""
