@@ -169,3 +169,49 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
     cast(sum(removed) over (partition by part, bit) as bigint) as shapley
 from r
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+SQL["op12_prefix_trie"] = r"""
+with own as (
+    select conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}
+        order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as ts
+    from conversations where conv_id is not null group by conv_id),
+b as (select *, conv_id - (conv_id % 5 + 5) % 5 as base, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: ascii(c)::bigint) as bytes from own),
+h as (
+    select conv_id, base, ts,
+        (xor(list_reduce([4294967295::bigint] || bytes, lambda c, byte: list_reduce([xor(c, byte)] || range(8),
+            lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 9)::int as h
+    from b),
+r as (
+    select h.conv_id, list_transform(case when h.h = 0 then [] else coalesce(o.ts[1:h.h], []) end || h.ts[h.h + 1:],
+        lambda t: {'role': t.role, 'text': t.text}) as path
+    from h left join own o on o.conv_id = h.base),
+m as (select conv_id, path, d, path[1:d] as node, len(path) = d as ends from r, unnest(range(0, len(path) + 1)) as u(d)),
+n as (
+    select node, d as depth, min(conv_id) as conv_id, count(*) as n_convs,
+        case when d = 0 then 0 else (count(*) - 1) * strlen(node[d].text) end as saved,
+        sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256
+    from m group by node, d),
+k as (select n.*, p.conv_id as parent_conv_id, (select count(*) from n c where c.depth = n.depth + 1 and c.node[1:n.depth] = n.node) as n_children
+    from n left join n p on p.depth = n.depth - 1 and p.node = n.node[1:p.depth]),
+t as (
+    select a.node, count(*) filter (k.n_children = 0) as n_leaves, sum(k.saved) as saved_tokens
+    from (select node as below, node[1:d] as node from k, unnest(range(0, depth + 1)) as u(d)) a join k on k.node = a.below
+    group by a.node)
+select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from k join t using (node)
+"""
+
+
+@query
+def op13_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewatt.llm.langid import identify
+
+    return identify(table(spark, folder, "documents"))
