@@ -398,6 +398,26 @@ def test_prefix_counts_are_the_library_s(spark, docs, nothing):
     assert prefix_counts(nothing, path).count() == 0
 
 
+def test_counts_of_every_letter_beside_every_mark():
+    from tokenizers import Tokenizer
+
+    from tidewatt.llm.tokencount import PrefixCounter, at_prefix
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), PrefixCounter(path)
+    many = lambda texts: [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    letters = [chr(x) for x in range(0x41, 0x250) if chr(x).isalpha()]
+    marks = [chr(x) for x in range(33, 127) if not chr(x).isalnum()]
+    texts = [t for a in letters for m in marks for t in (f"{a}{m} x{a}", f"{m}{a}{m}{m}b{a} {m}")]
+    assert [counter(t)[1] for t in texts] == many(texts)
+    rng = np.random.default_rng(12)
+    pool = [*letters, *marks * 3, *" " * 60, *"\n\t\x1c\x1f\x85", "'s", "'ll", "9", "\u0301", "\u0307", "<|endoftext|>", "\uac00"]
+    for text in ("".join(rng.choice(pool, int(rng.integers(1, 24)))) for _ in range(3000)):
+        steps, n = counter(text)
+        want = many([text[:i] for i in range(len(text) + 1)]) if "\x1c" in text or n % 4 == 0 else None
+        assert n == (want or many([text]))[-1] and (want is None or at_prefix(steps, len(text)).tolist() == want)
+
+
 def test_prefix_counts_inside_long_runs():
     from tokenizers import Tokenizer
 

@@ -63,7 +63,8 @@ class ChunkTable(dict):
             self.clear()
 
 
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Letters that stay one letter when a text is lower-cased or composed; U+0130 becomes two characters.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: Tokens of a byte-level tokenizer never cross these cuts: its splitting rule gives a word the one space before it,
 #: keeps the rest of a run of white space apart, and ends a run of letters before any mark but an apostrophe.
 MARKS = "!-&(-/:-@\\[-`{-~"

@@ -188,11 +188,9 @@ class PrefixCounter:
         return joined, int(np.frombuffer(joined, "i1").sum(dtype="i8"))
 
     def _whole(self, text: str) -> tuple[bytes, int]:
-        """Texts with characters that only Python takes for white space: the library counts them whole."""
-        total = self.library([text])[0]
-        step = np.zeros(len(text), "<i8")
-        step[0] = total
-        return step.tobytes(), total
+        """Texts with characters that only Python takes for white space, as one run cut by the library."""
+        steps = np.diff(np.array(self._long_counts(text), "<i8"), prepend=0)
+        return steps.tobytes(), int(steps.sum())
 
 
 def at_prefix(steps: bytes, n_chars: int) -> np.ndarray:
@@ -205,9 +203,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """doc_id, n_bytes, n_chars, n_tokens and `steps` of every whole text; no shuffle.
 
     A null text is the empty text: 0 tokens. Null ids and repeated rows stay as they are; an empty table gives no
-    row. Special strings inside a text count as the library's default counts them. Exact at every prefix, but for
-    texts with the control characters 1C-1F, whose count is exact at their end and set to that from their first
-    character on.
+    row. Special strings inside a text count as the library's default counts them. Exact at every prefix.
     """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
