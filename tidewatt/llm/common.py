@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tidewatt.session import materialize  # noqa: F401  (re-exported for the operators)
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Entries that a worker's table of chunks may hold: about 160 MB.
-CACHE_ENTRIES = 800_000
+#: What a worker's table of chunks may hold: entries (each costs some 150 bytes besides), and bytes of chunks and values.
+CACHE_ENTRIES, CACHE_BYTES = 200_000, 16 << 20
+#: Rows that Spark sends to a Python worker at once: whole texts, so fewer than its usual 10,000.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,11 +41,30 @@ def kept_by_worker(name: str, build: Callable[[], object]):
     return getattr(store, name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a batch to BATCH_ROWS, so that neither side holds thousands of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return the memory that a finished task has freed to the system: the worker lives on beside others."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # only glibc has it
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Small pieces of each batch, so that what a task holds at once stays small."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
 
 
 class ChunkTable(dict):
@@ -51,16 +72,21 @@ class ChunkTable(dict):
 
     def __init__(self, learn: Callable[[str], bytes] | None = None):
         super().__init__()
-        self.learn = learn
+        self.learn, self.held = learn, 0
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.learn(chunk)
-        self[chunk] = value
+        self.keep(chunk, value)
         return value
 
+    def keep(self, chunk: str, value: bytes) -> None:
+        self[chunk] = value
+        self.held += len(chunk) + len(value)
+
     def room(self) -> None:
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > CACHE_ENTRIES or self.held > CACHE_BYTES:
             self.clear()
+            self.held = 0
 
 
 #: Letters that stay one letter when a text is lower-cased or composed; U+0130 becomes two characters.

@@ -72,8 +72,8 @@ def gray_rank(value: Column) -> Column:
 class GrayIndex:
     """Nodes over fingerprints in Gray order: what each shares (`low` AND `high` of its members), level by level."""
 
-    def __init__(self, table: np.ndarray, word: np.ndarray):
-        self.n = len(word)
+    def __init__(self, table: np.ndarray, word: np.ndarray, most: int = MOST):
+        self.n, self.most = len(word), most
         self.levels = [(word, word, table, table)]  # AND, OR, first table, last table
         while len(self.levels[-1][0]) > 1:
             low, high, first, last = self.levels[-1]
@@ -98,9 +98,9 @@ class GrayIndex:
             low, high, first, last = self.levels[level]
             low_a, high_a, low_b, high_b = low[a], high[a], low[b], high[b]
             differ = (low_a ^ low_b) & ~((low_a ^ high_a) | (low_b ^ high_b))
-            keep = (np.bitwise_count(differ) <= MOST) & (differ & np.uint64(LEAD) == 0) & (first[b] <= last[a])
+            keep = (np.bitwise_count(differ) <= self.most) & (differ & np.uint64(LEAD) == 0) & (first[b] <= last[a])
             loose = np.bitwise_count((high_a | high_b) ^ (low_a & low_b))
-            whole = keep & (loose <= MOST) & (first[a] == last[b])
+            whole = keep & (loose <= self.most) & (first[a] == last[b])
             if whole.any():
                 for node in (a[whole], b[whole]):
                     begin, end = self.span(level, node)
@@ -136,19 +136,22 @@ def forest(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
 
 
 def unturned(word: np.ndarray, table: np.ndarray) -> np.ndarray:
-    shift = (16 * table).astype("u8")
+    shift = (16 * (table % 4)).astype("u8")
     return np.where(shift == 0, word, (word >> shift) | (word << ((np.uint64(BITS) - shift) % np.uint64(BITS))))
 
 
-OUT = "a long, b long, lead long, part int, low long, high long, members binary"
+OUT = "seed int, a long, b long, lead long, part int, low long, high long, members binary"
 
 
-def link_stars(fps: DataFrame) -> DataFrame:
-    """(a, b): links that connect exactly what chains of fingerprints at 3 or fewer differing bits connect.
+def link_stars(fps: DataFrame, most: int = MOST) -> DataFrame:
+    """(seed, a, b): links that connect exactly what chains of fingerprints of one seed connect that agree on a 16-bit
+    block and differ in at most `most` bits. For 3 bits that is every such chain, as 3 bits leave one of four blocks.
 
-    `fps` holds distinct fingerprints (fp: long).
+    `fps` holds distinct fingerprints (fp: long, and seed: int if there are several seeds).
     """
     spark = fps.sparkSession
+    if "seed" not in fps.columns:
+        fps = fps.withColumn("seed", F.lit(0))
 
     def signed(x: np.ndarray) -> pa.Array:
         return pa.array(x.astype("u8").view("i8"), pa.int64())
@@ -163,37 +166,37 @@ def link_stars(fps: DataFrame) -> DataFrame:
             return
         word = rank ^ (rank >> np.uint64(1))
         fp = unturned(word, table)
-        member, root = forest(len(word), GrayIndex(table, word).links())
+        member, root = forest(len(word), GrayIndex(table, word, most).links())
         none = pa.nulls(len(member))
-        yield pa.record_batch({"a": signed(fp[member]), "b": signed(fp[root]), "lead": none.cast(pa.int64()), "part": none.cast(pa.int32()), "low": none.cast(pa.int64()), "high": none.cast(pa.int64()), "members": none.cast(pa.binary())})
+        yield pa.record_batch({"seed": pa.array((table[member] // 4).astype("i4")), "a": signed(fp[member]), "b": signed(fp[root]), "lead": none.cast(pa.int64()), "part": none.cast(pa.int32()), "low": none.cast(pa.int64()), "high": none.cast(pa.int64()), "members": none.cast(pa.binary())})
         # The block values at either end may go on in the next range: their members, in runs.
         lead = table << 16 | (word >> np.uint64(48)).astype("i8")
         for value in {int(lead[0]), int(lead[-1])}:
             own = np.sort(np.flatnonzero(lead == value))
             for start in range(0, len(own), RUN):
                 run = word[own[start : start + RUN]]
-                row = {"a": None, "b": None, "lead": value, "part": part, "low": int(np.bitwise_and.reduce(run).view("i8")), "high": int(np.bitwise_or.reduce(run).view("i8")), "members": fp[own[start : start + RUN]].tobytes()}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("lead", pa.int64()), ("part", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("members", pa.binary())]))
+                row = {"seed": value >> 18, "a": None, "b": None, "lead": value, "part": part, "low": int(np.bitwise_and.reduce(run).view("i8")), "high": int(np.bitwise_or.reduce(run).view("i8")), "members": fp[own[start : start + RUN]].tobytes()}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("seed", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("lead", pa.int64()), ("part", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("members", pa.binary())]))
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for seed, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 fp = np.frombuffer(x + y, "<u8")
                 m = len(x) // 8
-                i, j = np.nonzero(np.bitwise_count(fp[:m, None] ^ fp[None, m:]) <= MOST)
+                i, j = np.nonzero(np.bitwise_count(fp[:m, None] ^ fp[None, m:]) <= most)
                 member, root = forest(len(fp), [(i, j + m)])
-                yield pa.record_batch({"a": signed(fp[member]), "b": signed(fp[root])})
+                yield pa.record_batch({"seed": pa.array(np.full(len(member), seed, "i4")), "a": signed(fp[member]), "b": signed(fp[root])})
 
-    tables = [fps.select(F.lit(t).alias("table"), gray_rank(turned(F.col("fp"), t)).alias("rank")) for t in range(4)]
+    tables = [fps.select((F.col("seed") * 4 + t).alias("table"), gray_rank(turned(F.col("fp"), t)).alias("rank")) for t in range(4)]
     every = tables[0].union(tables[1]).union(tables[2]).union(tables[3])
     found = materialize(every.repartitionByRange(partitions(spark), "table", "rank").sortWithinPartitions("table", "rank").mapInArrow(ranged, OUT), "ranges")
-    runs = found.where("members is not null").select("lead", "part", "low", "high", "members")
+    runs = found.where("members is not null").select("seed", "lead", "part", "low", "high", "members")
     split = runs.groupBy("lead").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("lead")
     ends = runs.join(split, "lead", "left_semi")
     left, right = ends.alias("l"), ends.alias("r")
     shared_differ = F.expr("(l.low ^ r.low) & ~((l.low ^ l.high) | (r.low ^ r.high))")
-    pairs = left.join(right, F.expr("l.lead = r.lead and l.part < r.part")).where(F.bit_count(shared_differ) <= MOST).select("l.members", F.col("r.members").alias("others"))
-    return found.where("a is not null").select("a", "b").union(pairs.mapInArrow(across, "a long, b long"))
+    pairs = left.join(right, F.expr("l.lead = r.lead and l.part < r.part")).where(F.bit_count(shared_differ) <= most).select("l.seed", "l.members", F.col("r.members").alias("others"))
+    return found.where("a is not null").select("seed", "a", "b").union(pairs.mapInArrow(across, "seed int, a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

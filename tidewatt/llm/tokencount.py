@@ -165,7 +165,7 @@ class PrefixCounter:
         return counts
 
     def _learn(self, chunk: str) -> bytes | np.ndarray:
-        if len(self.prefixes) > 600_000:
+        if len(self.prefixes) > 200_000:
             self.prefixes = {}
         word = chunk.lstrip()
         counts = [0] * (len(chunk) - len(word)) + (self._counts(word) if word else [])

@@ -211,7 +211,8 @@ class Codec:
         words = [MARKED_WORD.findall(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts]
         self.known.room()
         new = [w for w in {w for ws in words for w in ws} if w not in self.known]
-        self.known.update((w, np.array(ids, "<i4").tobytes()) for w, ids in zip(new, self.viterbi.words(new)))
+        for w, ids in zip(new, self.viterbi.words(new)):
+            self.known.keep(w, np.array(ids, "<i4").tobytes())
         return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), "<i4") for ws in words]
 
     def decode(self, ids: Iterable[int]) -> str:
