@@ -164,6 +164,39 @@ def test_medians_short_and_long_paths_agree(spark):
     assert Q.exact_quantile(df.where("false"), "v") is None
 
 
+@pytest.mark.parametrize("small", [5, 1_000_000])
+def test_quantiles_of_many_columns_and_groups(spark, small):
+    rng = np.random.default_rng(6)
+    made = []
+    for i in range(1200):
+        x = float(rng.normal())
+        made.append((f"g{i % 7}" if i % 11 else None, x, None if i % 3 else round(x, 1), 5.0, float("nan") if i % 2 else x * 1e9, None))
+    df = spark.createDataFrame(made, "g string, a double, b double, c double, d double, e double").repartition(4)
+    for q in (0.0, 0.3, 0.5, 1.0):
+        got = {r["g"]: tuple(r)[1:] for r in Q.exact_quantiles(df, list("abcde"), q, ["g"], accuracy=60, small=small).collect()}
+        assert None not in got and len(got) == 7
+        for g, values in got.items():
+            own = [r for r in made if r[0] == g]
+            for k, v in enumerate(values, 1):
+                present = [r[k] for r in own if r[k] is not None and r[k] == r[k]]
+                assert v == pytest.approx(np.quantile(present, q)) if present else v is None
+
+
+def test_twenty_medians_cost_the_jobs_of_two(spark):
+    df = spark.range(300).select("id", *[(F.col("id") * 37 % (7 + k) * 1.0).alias(f"c{k}") for k in range(20)])
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(columns):
+        group = f"medians-{len(columns)}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = Q.exact_medians(df, columns)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group)), out
+
+    two, twenty = jobs(["c0", "c1"]), jobs([f"c{k}" for k in range(20)])
+    assert twenty[0] <= two[0] and all(twenty[1][c] == np.median([i * 37 % (7 + int(c[1:])) for i in range(300)]) for c in twenty[1])
+
+
 def test_imputer_and_scaler(spark):
     df = spark.createDataFrame([(1.0, "x"), (None, "y"), (3.0, "y"), (8.0, None), (None, "x")], "v double, c string")
     rows = PP.fit_imputer(df, ["v"], ["c"])(df).collect()

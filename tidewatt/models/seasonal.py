@@ -10,7 +10,7 @@ from tidewatt import constants as K
 from tidewatt.models import basis as B
 from tidewatt.models.gram import dot, grams_by, solve_by
 from tidewatt.operators.ordered import small_table
-from tidewatt.operators.quantiles import exact_medians_by
+from tidewatt.operators.quantiles import exact_quantiles
 
 HINGES = 25
 SEASONS = [("yearly", 365.25, 10), ("weekly", 7.0, 3), ("daily", 1.0, 4)]
@@ -34,16 +34,12 @@ def fit_seasonal_by_region(
     """
     names = [c for c in (regressors or K.SEASONAL_REGRESSORS) if c in train.columns]
     typed = train.withColumns({c: F.col(c).cast("double") for c in names})
-    medians = exact_medians_by(typed, "region", names)
+    medians = small_table(exact_quantiles(typed, names, by=["region"]).toDF("region", *[f"__med_{c}" for c in names]))
 
     def fill(df: DataFrame) -> DataFrame:
-        out = {}
-        for c in names:
-            pairs = [F.lit(v) for r, m in sorted(medians.items()) for v in (r, m[c])]
-            table = F.create_map(*pairs)
-            present = F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
-            out[c] = F.coalesce(present, F.element_at(table, F.col("region")), F.lit(0.0))
-        return df.withColumns(out)
+        present = lambda c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
+        filled = {c: F.coalesce(present(c), F.col(f"__med_{c}"), F.lit(0.0)) for c in names}
+        return df.join(medians, "region", "left").withColumns(filled).drop(*[f"__med_{c}" for c in names])
 
     filled = fill(typed)
     summary = filled.groupBy("region").agg(

@@ -623,6 +623,24 @@ def _(spark, sf):
     return fit_imputer(train, ["load_mw", "load_previous_week"], ["region"])(holes).drop("ord")
 
 
+@query(
+    "median_by_region",
+    f"""with {X.PANEL}
+        select region, round(median(load_mw), 7) as load_mw, round(median(load_mw * load_mw - 40 * load_mw), 7) as bent,
+        round(median(case when day(time_utc) % 2 = 0 then load_mw end), 7) as even_days, median(hour(time_utc)::double) as hour
+        from panel group by region""",
+)
+def _(spark, sf):
+    """Several columns of every region in the same three passes."""
+    from tidewatt.operators.quantiles import exact_quantiles
+
+    load, hour = F.col("load_mw"), F.hour("time_utc").cast("double")
+    even = F.when(F.dayofmonth("time_utc") % 2 == 0, load)
+    rows = X.panel(spark, sf).select("region", "load_mw", (load * load - 40 * load).alias("bent"), even.alias("even_days"), hour.alias("hour"))
+    found = exact_quantiles(rows, ["load_mw", "bent", "even_days", "hour"], by=["region"])
+    return found.select("region", *[F.round(c, 7).alias(c) for c in ("load_mw", "bent", "even_days")], "hour")
+
+
 @query(
     "standardize",
     f"""with {SPLIT}, m as (select avg(load_mw) as ma, stddev_pop(load_mw) as sa, avg(hour(time_utc)) as mh, stddev_pop(hour(time_utc)) as sh from train)
