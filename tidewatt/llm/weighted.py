@@ -27,32 +27,37 @@ def uniform(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(0.5**bits)
 
 
-def slot_minima(k: int, sides: int) -> list[Column]:
-    """The lowest score of slot k for each side; `far{i}` is infinite where a row does not count for side i."""
+def slot_minimum(k: int) -> Column:
+    """The lowest score of slot k."""
     rate, shape = F.xxhash64("h", F.lit(2 * k)), F.xxhash64("h", F.lit(2 * k + 1))
     r = -F.ln(uniform(rate, 0, 21) * uniform(rate, 21, 21))
     ln_c = F.ln(-F.ln(uniform(shape, 0, 32) * uniform(shape, 32, 32)))
     b = uniform(rate, 42, 22)
-    score = ln_c - r * (F.floor(F.col("ln_w") / r + b) - b + 1)
-    return [F.min(score + F.col(f"far{i}")).alias(f"m{i}_{k}") for i in range(sides)]
+    return F.min(ln_c - r * (F.floor(F.col("ln_w") / r + b) - b + 1)).alias(f"m{k}")
 
 
 def signatures(words: DataFrame, keys: list[str], weights: list[str], slots: int = SLOTS) -> DataFrame:
     """keys, s0, s1: an array of `slots` ints for each of two weight columns, -1 everywhere where a side has no word.
 
     `words`: (keys, h, weights), one row a word of a text, weight 0 where the text lacks it; a word's rows are summed.
-    A word of one weight on both sides is scored once for both. Partitioned by `keys`, nothing is shuffled.
+    A word counts in part 0 if both sides have it with one weight, else in part 1, part 2 or both; each part is scored
+    once, and a side's sample is the lower one of part 0 and its own. Partitioned by `keys`, nothing is shuffled.
     """
     counted = words.groupBy(*keys, "h").agg(*[F.sum(w).alias(w) for w in weights])
     o, e = (F.col(w) for w in weights)
-    near, far = F.lit(0.0), F.lit(float("inf"))
-    side = lambda w, far0, far1: F.struct(w.alias("w"), far0.alias("far0"), far1.alias("far1"))
-    sides = F.when(o == e, F.array(side(o, near, near))).when(e == 0, F.array(side(o, near, far))).when(o == 0, F.array(side(e, far, near)))
-    rows = counted.select(*keys, "h", F.explode(sides.otherwise(F.array(side(o, near, far), side(e, far, near)))).alias("s"))
-    logs = rows.select(*keys, "h", F.ln("s.w").alias("ln_w"), "s.far0", "s.far1")
-    lowest = logs.groupBy(*keys).agg(*[m for k in range(slots) for m in slot_minima(k, 2)])
-    sample = lambda i, k: F.when(F.col(f"m{i}_{k}") == far, F.lit(-1)).otherwise(F.xxhash64(F.lit(k), f"m{i}_{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return lowest.select(*keys, *[F.array(*[sample(i, k) for k in range(slots)]).alias(f"s{i}") for i in range(2)])
+    share = lambda part, w: F.struct(F.lit(part).alias("part"), w.alias("w"))
+    parts = F.when(o == e, F.array(share(0, o))).when(e == 0, F.array(share(1, o))).when(o == 0, F.array(share(2, e)))
+    rows = counted.select(*keys, "h", F.explode(parts.otherwise(F.array(share(1, o), share(2, e)))).alias("s"))
+    logs = rows.select(*keys, "h", F.col("s.part").alias("part"), F.ln("s.w").alias("ln_w"))
+    lowest = logs.groupBy(*keys, "part").agg(*[slot_minimum(k) for k in range(slots)])
+    packed = lowest.select(*keys, "part", F.array(*[f"m{k}" for k in range(slots)]).alias("m"))
+    side = [F.max(F.when(F.col("part") == i, F.col("m"))).alias(f"m{i}") for i in range(3)]
+    met = packed.groupBy(*keys).agg(*side)
+    # `least` skips nulls: a part that a text lacks leaves the other.
+    both = lambda i: F.when(F.col("m0").isNull(), F.col(f"m{i}")).when(F.col(f"m{i}").isNull(), F.col("m0")).otherwise(F.zip_with("m0", f"m{i}", lambda x, y: F.least(x, y)))
+    sample = lambda m, k: F.xxhash64(k.cast("int"), m).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    none = F.array(*[F.lit(-1)] * slots)
+    return met.select(*keys, *[F.coalesce(F.transform(both(i), sample), none).alias(f"s{i - 1}") for i in (1, 2)])
 
 
 def likeness(a: Column, b: Column) -> Column:
