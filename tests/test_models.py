@@ -106,6 +106,24 @@ def test_bases_sum_to_one(spark, x):
     assert sum(r["h"]) == (1.0 if x in (0.0, 5.0) else 0.0) and len(r["h"]) == 6
 
 
+def test_rows_of_a_task_equal_the_expressions(spark):
+    from tidewatt.models import rows as R
+
+    xs = np.array([-3.0, 0.0, 0.4, 1.0, 2.5, 6.999, 7.0, 9.5, 23.99])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "i int, x double").orderBy("i")
+    x = F.col("x")
+    for column, array in (
+        (B.spline_basis(x, 0.0, 7.0, 9), R.spline(xs, 0.0, 7.0, 9)),
+        (B.spline_basis(x, 2.0, 2.0, 6), R.spline(xs, 2.0, 2.0, 6)),
+        (B.cyclic_basis(x, 0.0, 24.0, 6), R.cyclic(xs, 0.0, 24.0, 6)),
+        (B.one_hot(x, 4), R.one_hot(xs, 4)),
+        (B.fourier(x, 7.0, 3), R.fourier(xs, 7.0, 3)),
+        (B.hinges(x / 24, 5), R.hinges(xs / 24, 5)),
+    ):
+        assert np.allclose(np.array([r["v"] for r in df.select("i", column.alias("v")).orderBy("i").collect()]), array, atol=1e-12)
+    assert np.isnan(R.spline(np.array([np.nan]), 0.0, 1.0, 5)).all() and len(R.complete(np.array([[1.0], [np.nan]]), np.zeros(2))[0]) == 1
+
+
 def test_splines_continue_as_straight_lines(spark):
     weights = np.random.default_rng(3).normal(size=9)
     df = spark.createDataFrame([(v,) for v in (10.0, 11.0, 12.0, 13.0)], "x double").select(B.spline_basis(F.col("x"), 0.0, 10.0, 9).alias("s"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatt import constants as K
 from tidewatt.functions import scalar as S
 from tidewatt.models import basis as B
+from tidewatt.models import rows as R
 from tidewatt.models.features import require_known_regions, with_row_lags
 from tidewatt.models.gram import dot, gram, grams_by, solve_by
 from tidewatt.models.preprocess import cached, fit_imputer, levels, with_region_code
@@ -22,7 +23,8 @@ class Term:
     """One additive term: its columns as an expression, and its penalty.
 
     A spline also has its place on the knots, a column of its own that the
-    expression then refers to many times.
+    expression then refers to many times. `rows` builds the same columns from
+    arrays of the raw columns `inputs`, inside a task.
     """
 
     name: str
@@ -31,24 +33,50 @@ class Term:
     penalty: np.ndarray
     start: int = 0
     place: Callable[[], Column] | None = None
+    inputs: tuple[str, ...] = ()
+    rows: Callable[..., np.ndarray] | None = None
 
 
 @dataclass
 class Design:
     terms: list[Term] = field(default_factory=list)
 
-    def add(self, name: str, size: int, expr: Callable[[], Column], penalty: np.ndarray, place=None) -> None:
-        self.terms.append(Term(name, size, expr, penalty, self.size, place))
+    def add(self, name: str, size: int, expr: Callable[[], Column], penalty: np.ndarray, place=None, inputs=(), rows=None) -> None:
+        self.terms.append(Term(name, size, expr, penalty, self.size, place, inputs, rows))
 
-    def add_spline(self, name: str, lo: Callable[[], Column | float], hi: Callable[[], Column | float], n: int, lam: float) -> None:
+    def add_spline(self, name: str, lo: float | str, hi: float | str, n: int, lam: float) -> None:
+        """A spline over [lo, hi], two numbers or the names of two columns."""
+        end = lambda v: F.col(v) if isinstance(v, str) else v
+        named = isinstance(lo, str)
         self.add(
             name,
             n,
             lambda: B.spline_row(F.col(f"__u_{name}"), F.col(f"__i_{name}"), F.col(f"__c_{name}"), n),
             lam * B.difference_penalty(n),
-            lambda: B.spline_place(_column(name), lo(), hi(), n),
+            lambda: B.spline_place(_column(name), end(lo), end(hi), n),
+            (name, lo, hi) if named else (name,),
+            (lambda x, a, b: R.spline(x, a, b, n)) if named else (lambda x: R.spline(x, lo, hi, n)),
         )
 
+    @property
+    def inputs(self) -> list[str]:
+        """The raw columns that the design rows are built from."""
+        return list(dict.fromkeys(c for t in self.terms for c in t.inputs))
+
+    def raw(self, name: str = "x") -> Column:
+        """The raw columns of a row as an array, for `prepare`."""
+        return F.array(*[_column(c) for c in self.inputs]).alias(name)
+
+    def matrix(self, raw: np.ndarray) -> np.ndarray:
+        """Design rows from rows of `inputs`."""
+        at = {c: i for i, c in enumerate(self.inputs)}
+        ones = np.ones((len(raw), 1))
+        return np.hstack([t.rows(*[raw[:, at[c]] for c in t.inputs]) if t.inputs else ones for t in self.terms])
+
+    def prepare(self) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What turns raw rows into design rows inside the task that sums them."""
+        return lambda x, y: R.complete(self.matrix(x), y)
+
     @property
     def size(self) -> int:
         return sum(t.size for t in self.terms)
@@ -87,18 +115,20 @@ def additive_design(train: DataFrame, regions: int, n_splines: int = 25, lam: fl
     design = Design()
     design.add("intercept", 1, lambda: F.array(F.lit(1.0)), np.zeros((1, 1)))
     for name, (lo, hi) in edges(train, K.ADDITIVE_SPLINES).items():
-        design.add_spline(name, lambda lo=lo: lo, lambda hi=hi: hi, n_splines, lam)
+        design.add_spline(name, lo, hi, n_splines, lam)
     for name, (n, lo, hi) in K.ADDITIVE_CYCLIC.items():
         design.add(
             name,
             n,
             lambda name=name, n=n, lo=lo, hi=hi: B.cyclic_basis(_column(name), lo, hi, n),
             lam * B.difference_penalty(n, cyclic=True),
+            inputs=(name,),
+            rows=lambda x, n=n, lo=lo, hi=hi: R.cyclic(x, lo, hi, n),
         )
     for name in K.ADDITIVE_LINEAR:
-        design.add(name, 1, lambda name=name: F.array(_column(name)), lam * np.eye(1))
+        design.add(name, 1, lambda name=name: F.array(_column(name)), lam * np.eye(1), inputs=(name,), rows=lambda x: x[:, None])
     for name, n in zip(K.ADDITIVE_FACTORS, (regions, 7)):
-        design.add(name, n, lambda name=name, n=n: B.one_hot(_column(name), n), lam * np.eye(n))
+        design.add(name, n, lambda name=name, n=n: B.one_hot(_column(name), n), lam * np.eye(n), inputs=(name,), rows=lambda x, n=n: R.one_hot(x, n))
     return design
 
 
@@ -151,7 +181,7 @@ def fit_additive(train: DataFrame, n_splines: int = 25, lam: float = 0.6) -> Add
 
     ready = prepare(train)
     design = additive_design(ready, len(known), n_splines, lam)
-    g = gram(design.apply(ready).select("x", S.to_log(F.col("load_mw")).alias("y")))
+    g = gram(ready.select(design.raw(), S.to_log(F.col("load_mw")).alias("y")), design.prepare())
     system = g.xtx + design.penalty()
     beta = np.linalg.solve(system, g.xty)
     inverse = np.linalg.inv(system)
@@ -187,20 +217,18 @@ def fit_additive_by_hour(train: DataFrame, valid: DataFrame, n_splines: int = 20
     design = Design()
     design.add("intercept", 1, lambda: F.array(F.lit(1.0)), np.zeros((1, 1)))
     for name in terms:
-        design.add_spline(
-            name, lambda name=name: F.col(f"lo_{name}"), lambda name=name: F.col(f"hi_{name}"), n_splines, lam
-        )
-    design.add("region_code", len(known), lambda: B.one_hot(_column("region_code"), len(known)), lam * np.eye(len(known)))
+        design.add_spline(name, f"lo_{name}", f"hi_{name}", n_splines, lam)
+    n = len(known)
+    design.add("region_code", n, lambda: B.one_hot(_column("region_code"), n), lam * np.eye(n), inputs=("region_code",), rows=lambda x: R.one_hot(x, n))
 
     def ready(df: DataFrame) -> DataFrame:
-        coded = with_region_code(df, known).na.fill({"region_code": 0})
-        return design.apply(coded.join(F.broadcast(bounds), "hour"))
+        return with_region_code(df, known).na.fill({"region_code": 0}).join(F.broadcast(bounds), "hour")
 
-    rows = ready(usable_train).select("hour", "x", S.to_log(F.col("load_mw")).alias("y"))
-    betas = solve_by(grams_by(rows, F.col("hour")), design.penalty()).select(
+    rows = ready(usable_train).select("hour", design.raw(), S.to_log(F.col("load_mw")).alias("y"))
+    betas = solve_by(grams_by(rows, F.col("hour"), design.prepare()), design.penalty()).select(
         F.col("key").cast("int").alias("hour"), "beta"
     )
-    scored = ready(usable_valid).join(F.broadcast(betas), "hour")
+    scored = design.apply(ready(usable_valid)).join(F.broadcast(betas), "hour")
     return scored.select(
         "region",
         "time_utc",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatt import constants as K
 from tidewatt.models import basis as B
+from tidewatt.models import rows as R
 from tidewatt.models.gram import dot, grams_by, solve_by
 from tidewatt.operators.ordered import small_table
 from tidewatt.operators.quantiles import exact_quantiles
@@ -20,6 +21,13 @@ def days(ts: str = "time_utc") -> Column:
     return F.unix_timestamp(ts) / F.lit(86400.0)
 
 
+def design_rows(raw: np.ndarray) -> np.ndarray:
+    """Design rows from (day, place in the history, scaled regressors)."""
+    day, t = raw[:, 0], raw[:, 1]
+    seasons = [R.fourier(day, period, order) for _, period, order in SEASONS]
+    return np.hstack([np.ones((len(raw), 1)), t[:, None], R.hinges(t, HINGES), *seasons, raw[:, 2:]])
+
+
 def fit_seasonal_by_region(
     train: DataFrame,
     changepoint_scale: float = 0.05,
@@ -52,16 +60,19 @@ def fit_seasonal_by_region(
 
     stats = small_table(summary)
 
-    def design(df: DataFrame) -> DataFrame:
-        joined = fill(df).join(stats, "region", "left")
+    scaled = [
+        F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c in names
+    ]
+
+    def placed(df: DataFrame) -> DataFrame:
         # Day and trend are columns of their own, as the terms below repeat them many times.
-        joined = joined.withColumn("__day", days()).withColumn(
+        return fill(df).join(stats, "region", "left").withColumn("__day", days()).withColumn(
             "__t", (F.col("__day") - F.col("__d0")) / F.greatest(F.col("__d1") - F.col("__d0"), F.lit(1e-9))
         )
+
+    def design(df: DataFrame) -> DataFrame:
+        joined = placed(df)
         day, t = F.col("__day"), F.col("__t")
-        scaled = [
-            F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c in names
-        ]
         x = F.concat(
             F.array(F.lit(1.0), t),
             B.hinges(t, HINGES),
@@ -78,9 +89,10 @@ def fit_seasonal_by_region(
             np.full(seasons + len(names), 1.0 / seasonality_scale**2),
         ]
     )
-    rows = design(typed).select("region", "x", (F.col("load_mw") / F.nullif(F.col("__scale"), F.lit(0.0))).alias("y"))
+    raw = F.array(F.col("__day"), F.col("__t"), *scaled).alias("x")
+    rows = placed(typed).select("region", raw, (F.col("load_mw") / F.nullif(F.col("__scale"), F.lit(0.0))).alias("y"))
     betas = small_table(
-        solve_by(grams_by(rows, F.col("region")), np.diag(ridge)).select(F.col("key").alias("region"), "beta")
+        solve_by(grams_by(rows, F.col("region"), lambda x, y: R.complete(design_rows(x), y)), np.diag(ridge)).select(F.col("key").alias("region"), "beta")
     )
 
     def predict(df: DataFrame) -> DataFrame:
