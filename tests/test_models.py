@@ -312,6 +312,64 @@ def test_histogram_and_rank(spark):
     assert [(r["model"], r["rank"]) for r in ranks.orderBy("model").collect()] == [("a", 1), ("b", 1), ("c", 3)]
 
 
+@pytest.fixture(scope="module")
+def with_gaps(spark, revised):
+    """The panel with gaps in the weather, one region from its second week on, and a column that is constant."""
+    hole = lambda c, k, m: F.when(F.hash("time_utc", "region", F.lit(c)) % k != m, F.col(c))
+    late = revised.where("region = 'pge' and time_utc >= timestamp'2025-01-09'").withColumn("region", F.lit("sce")).withColumn("load_mw", F.col("load_mw") * 1.3 + 50)
+    both = revised.unionByName(late)
+    return both.withColumns({c: hole(c, k, 0) for c, k in (("temperature_2m", 9), ("cloud_cover", 5), ("relative_humidity_2m", 7), ("load_previous_week", 31))}).cache()
+
+
+def test_sweep_equals_single_runs(with_gaps):
+    from tidewatt.models.sweep import SWEPT, sweep
+
+    days, months = with_gaps.withColumn("time_utc", F.col("time_utc") + F.expr("INTERVAL 17 DAYS")), ["2025-02"]
+    models = {"linear": {}, "ridge": {"alpha": 10.0}, "additive": {"n_splines": 9}, "seasonal": {"changepoint_scale": 0.1}}
+    assert set(models) == set(SWEPT)
+    predictions, trained, failures = sweep(days, models, months)
+    assert not failures and {r["train_rows_used"] for r in trained.collect()} == {P.usable_rows(days.where("time_utc < timestamp'2025-02-01'")).count()}
+    rows = predictions.collect()
+    for name, params in models.items():
+        single, _ = backtest.run_month(days, name, months[0], **params)
+        want = {(r["region"], r["time_utc"]): r["predicted_load_mw"] for r in single.collect()}
+        got = {(r["region"], r["time_utc"]): r["predicted_load_mw"] for r in rows if r["model"] == name}
+        assert got.keys() == want.keys() and len(got) > 100
+        assert max(abs(got[k] / want[k] - 1) for k in want) < (1e-6 if name == "linear" else 1e-8)
+
+
+def test_sweep_of_many_months_scans_the_rows_once(spark, with_gaps):
+    from tidewatt.models import sweep as W
+
+    rows = with_gaps.crossJoin(spark.range(4).select((F.col("id") * 40).cast("int").alias("shift")))  # 160 days in a row
+    rows = rows.withColumn("time_utc", F.timestamp_seconds(F.unix_timestamp("time_utc") + F.col("shift") * 86400)).drop("shift")
+    months = ["2025-03", "2025-02", "2025-05", "2024-06"]
+    models = {"ridge": {}, "additive": {"n_splines": 8}, "seasonal": {}}
+    predictions, trained, failures = W.sweep(rows, models, months, {("ridge", "2025-03")})
+    assert {(n, m) for n, m, _ in failures} == {(n, "2024-06") for n in models}
+    got = {(r["model"], r["month"]): r for r in predictions.groupBy("model", "month").agg(F.count("*").alias("n"), F.sum("squared_error").alias("e")).collect()}
+    assert set(got) == {(n, m) for n in models for m in months[:3]} - {("ridge", "2025-03")}
+    for name, month in (("ridge", "2025-05"), ("additive", "2025-03"), ("seasonal", "2025-05")):
+        single, metrics = backtest.run_month(rows, name, month, **models[name])
+        row = metrics.first()
+        assert got[name, month]["n"] == row["validation_rows_scored"]
+        assert got[name, month]["e"] / got[name, month]["n"] == pytest.approx(row["MSE"], rel=1e-7)
+    # Scoring reads the prepared rows once, whatever the months and models.
+    plan = predictions._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and plan.count("MapInArrow") == 1
+    with pytest.raises(ValueError, match="no setting"):
+        W.sweep(rows, {"ridge": {"beta": 1}}, months)
+
+
+def test_any_error_of_a_pair_leaves_the_others(spark, revised, tmp_path, monkeypatch):
+    def broken(**kw):
+        raise RuntimeError("no memory")
+
+    monkeypatch.setitem(backtest.MODELS, "boosted", broken)
+    table, failures = backtest.backtest(revised, {"boosted": {}, "ridge": {}}, ["2025-02"], str(tmp_path))
+    assert [(n, m) for n, m, _ in failures] == [("boosted", "2025-02")] and {r["model"] for r in table.collect()} == {"ridge"}
+
+
 def test_backtest_skips_finished(spark, revised, tmp_path):
     folder = str(tmp_path / "runs")
     table, failures = backtest.backtest(revised, {"linear": {}, "ridge": {}}, ["2025-02"], folder)

@@ -13,9 +13,10 @@ from tidewatt.models import linear, trees
 from tidewatt.models.additive import fit_additive_split
 from tidewatt.models.features import month_data, with_calendar
 from tidewatt.models.seasonal import fit_seasonal_by_region
+from tidewatt.models.sweep import SETTINGS, sweep
 from tidewatt.operators import evaluate as E
 from tidewatt.operators import panel as P
-from tidewatt.sources.files import write_run
+from tidewatt.sources.files import write_run, write_runs
 from tidewatt.session import NO_TABLE
 
 Model = Callable[[DataFrame, DataFrame], DataFrame]
@@ -117,28 +118,62 @@ def finished_runs(spark: SparkSession, folder: str) -> set[tuple[str, str]]:
     return {(r["model"], str(r["month"])) for r in done.select("model", "month").distinct().collect()}
 
 
+def sweep_runs(
+    revised: DataFrame, models: dict[str, dict], months: Sequence[str], folder: str, done: set[tuple[str, str]] = frozenset()
+) -> list[tuple[str, str, str]]:
+    """Every pair but those `done`, fitted in one pass: predictions written once, metrics taken from what was written."""
+    predictions, trained, failures = sweep(revised, models, months, done)
+    pairs = {(r["model"], r["month"]) for r in trained.collect()}
+    if pairs:
+        write_runs(predictions, folder, "predictions")
+        written = revised.sparkSession.read.schema(predictions.schema).parquet(f"{folder}/predictions").join(F.broadcast(trained), ["model", "month"])
+        start = F.to_timestamp(F.concat("month", F.lit("-01")))
+        second = F.expr("INTERVAL 1 SECOND")
+        measured = written.groupBy("model", "month", "train_rows_used").agg(F.count("*").alias("validation_rows_scored"), *[c.alias(n) for n, c in E.metric_columns().items()])
+        rows = measured.select(
+            F.col("month").alias("predict_month"),
+            "train_rows_used",
+            "validation_rows_scored",
+            (start - second).alias("training_end_time"),
+            start.alias("validation_start_time"),
+            (start + F.expr("INTERVAL 1 MONTH") - second).alias("validation_end_time"),
+            *["RMSE", "MAE", "MAPE", "BIAS", "MEAN_ACTUAL", "MEAN_FORECAST", "MSE"],
+            "model",
+            "month",
+        )
+        write_runs(rows, folder, "metrics")
+    return failures
+
+
 def backtest(
     revised: DataFrame, models: dict[str, dict], months: Sequence[str], folder: str, regions: Sequence[str] | None = None
 ) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """Every model on every month, expanding window; finished pairs are skipped.
 
-    `revised` is read several times per run, so pass a written table. Results
-    go to `folder`, partitioned by (model, month), so that a lost driver
-    resumes where it stopped. A failed pair is reported and the rest
-    go on. Returns the metrics table and the failures.
+    Linear, ridge, additive and seasonal models are swept over all months in
+    one pass; the others are fitted month by month, so pass a written table.
+    Results go to `folder`, partitioned by (model, month), so that a lost driver
+    resumes where it stopped. A failed pair is reported, whatever its error,
+    and the rest go on. Returns the metrics table and the failures.
     """
     spark = revised.sparkSession
     revised = modelled(revised, regions)
     done = finished_runs(spark, folder)
+    swept = {name: params for name, params in models.items() if name in SETTINGS and set(params) <= set(SETTINGS[name])}
     failures = []
+    if any((name, month) not in done for name in swept for month in months):
+        try:
+            failures += sweep_runs(revised, swept, months, folder, done)
+        except Exception as error:  # as below: one failure must not end the others
+            failures += [(name, month, str(error)) for name in swept for month in months if (name, month) not in done]
     for month in months:
         for name, params in models.items():
-            if (name, month) in done:
+            if name in swept or (name, month) in done:
                 continue
             try:
                 predictions, metrics = run_month(revised, name, month, **params)
                 write_run(predictions, metrics, folder, name, month)
-            except ValueError as error:
+            except Exception as error:
                 failures.append((name, month, str(error)))
     if len(failures) == len(models) * len(months):
         raise ValueError(f"Every run failed: {failures[:3]}")

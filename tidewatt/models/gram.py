@@ -98,7 +98,11 @@ def grams_by(df: DataFrame, key: Column, prepare: Prepare | None = None) -> Data
     """One packed Gram per key from rows with `x` (array) and `y`; rows lacking either drop."""
     # A null x is dropped in the task: a filter on it would compute the whole row twice.
     rows = df.where("y is not null").select(key.cast("string").alias("key"), "x", "y")
-    partial = rows.mapInArrow(_partials(prepare), PARTIAL)
+    return added_up(rows.mapInArrow(_partials(prepare), PARTIAL))
+
+
+def added_up(partial: DataFrame) -> DataFrame:
+    """(key, stats): the vectors of (key, task, stats) rows summed by key, in two rounds. A key's have one length."""
     vectors = partial.select("key", (F.col("task") % FAN_IN).alias("task"), array_to_vector("stats").alias("v"))
     halfway = vectors.groupBy("key", "task").agg(Summarizer.sum(F.col("v")).alias("v"))
     total = halfway.groupBy("key").agg(Summarizer.sum(F.col("v")).alias("v"))
@@ -124,6 +128,11 @@ def gram(df: DataFrame, prepare: Prepare | None = None) -> Gram:
     return unpack(row["stats"])
 
 
+def smallest_solution(xtx: np.ndarray, xty: np.ndarray) -> np.ndarray:
+    """The least-squares weights of the smallest norm. Directions of less than 1e-10 of the largest spread are rounding."""
+    return np.linalg.lstsq(xtx, xty, rcond=1e-10)[0]
+
+
 def solve_by(grams: DataFrame, penalty: np.ndarray) -> DataFrame:
     """(key, beta, n) of each group's penalised least squares, solved where the group is."""
 

@@ -6,54 +6,48 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatt.models.features import fit_features
-from tidewatt.models.gram import dot, gram
+from tidewatt.models.gram import dot, gram, smallest_solution
 from tidewatt.models.preprocess import cached
 
 Predict = Callable[[DataFrame], DataFrame]
 
 
 def fit_linear(train: DataFrame, target: str = "load_mw") -> Predict:
-    """Least squares by the normal equations (one distributed aggregate)."""
-    return _fit(train, target, lambda _: 0.0)
+    """Least squares. Columns that depend on each other leave many solutions; the smallest weights are taken."""
+    return _fit(train, target, 0.0)
 
 
 def fit_ridge(train: DataFrame, target: str = "load_mw", alpha: float = 10.0) -> Predict:
-    """Ridge with a free intercept; `alpha` multiplies the squared weights against the summed squared error.
+    """Ridge with a free intercept; `alpha` multiplies the squared weights against the summed squared error."""
+    return _fit(train, target, alpha)
 
-    Spark's objective averages the error and scales the target by its
-    deviation, hence the conversion of the penalty.
-    """
-
-    def penalty(df: DataFrame) -> float:
-        row = df.agg(F.stddev_pop(target).alias("p"), F.count(target).alias("n")).first()
-        return alpha * row["p"] / row["n"]
-
-    return _fit(train, target, penalty)
 
-
-def _fit(train: DataFrame, target: str, penalty) -> Predict:
+def _fit(train: DataFrame, target: str, alpha: float) -> Predict:
+    """The normal equations are one distributed aggregate, taken around the target's mean; their solution has the size
+    of the feature list."""
     with cached(train) as rows:
         features = fit_features(rows)
-        ready = features(rows)
-        model = LinearRegression(
-            featuresCol="features",
-            labelCol=target,
-            predictionCol="predicted_load_mw",
-            regParam=penalty(rows),
-            elasticNetParam=0.0,
-            standardization=False,
-            solver="normal",
-            # Collinear columns leave the normal equations singular; they are then solved
-            # by iteration on the driver, over the same aggregate, to this tolerance.
-            tol=1e-14,
-            maxIter=10_000,
-        ).fit(ready)
-    return lambda df: model.transform(features(df)).drop("features")
+        y = F.col(target).cast("double")
+        centre = rows.agg(F.avg(y)).first()[0]
+        if centre is None:
+            raise ValueError("no rows to fit")
+        x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+        g = gram(features(rows).select(x.alias("x"), (y - centre).alias("y")))
+    mean, level = g.xtx[:-1, -1] / g.n, g.xty[-1] / g.n
+    spread = g.xtx[:-1, :-1] - g.n * np.outer(mean, mean)
+    right = g.xty[:-1] - g.n * mean * level
+    weights = np.linalg.solve(spread + alpha * np.eye(len(mean)), right) if alpha else smallest_solution(spread, right)
+    coefficients, intercept = [float(w) for w in weights], float(centre + level - mean @ weights)
+
+    def predict(df: DataFrame) -> DataFrame:
+        value = dot(vector_to_array("features"), F.lit(coefficients)) + F.lit(intercept)
+        return features(df).withColumn("predicted_load_mw", value).drop("features")
+
+    return predict
 
 
 def fit_eps_insensitive(

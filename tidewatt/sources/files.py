@@ -312,5 +312,12 @@ def write_run(predictions: DataFrame, metrics: DataFrame, folder: str, model: st
         ).partitionBy("model", "month").parquet(f"{folder}/{name}")
 
 
+def write_runs(df: DataFrame, folder: str, name: str) -> None:
+    """Rows of many runs at once, each under its (model, month) partition of `folder`/`name`."""
+    df.hint("rebalance", F.col("model"), F.col("month")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("model", "month").parquet(f"{folder}/{name}")
+
+
 def write_table(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").parquet(folder)
