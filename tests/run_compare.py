@@ -22,7 +22,7 @@ def main() -> None:
             importlib.import_module(f"tidewatt.plans.{module}_queries")
         except ModuleNotFoundError as missing:
             print("skip", missing)
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.log.level": "ERROR"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.log.level": "ERROR"})
     con = oracle(folder)
     bad = 0
     for name, q in CATALOG.items():

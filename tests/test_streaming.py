@@ -48,11 +48,58 @@ def test_daily_files_equal_one_merge(spark, tmp_path):
     assert keys(features, *cols) == keys(want, *cols)
 
 
+def small_batch(spark, *more):
+    data = [("a", datetime(2024, 1, 1, h), float(h), 0) for h in range(5)] + [("a", datetime(2024, 1, 1, 0), 9.0, 1), *more]
+    return spark.createDataFrame(data, "region string, time_utc timestamp, load_mw double, ord int")
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
-    data = [("a", datetime(2024, 1, 1, h), float(h), 0) for h in range(5)] + [("a", datetime(2024, 1, 1, 0), 9.0, 1)]
-    batch = spark.createDataFrame(data, "region string, time_utc timestamp, load_mw double, ord int")
-    folder, staging = str(tmp_path / "t"), str(tmp_path / "s")
-    I.merge_batch(batch, folder, staging, ["ord"])
+    batch, folder = small_batch(spark), str(tmp_path / "t")
+    I.merge_batch(batch, folder, ["ord"])
     first = keys(I.read_table(spark, folder), "time_utc", "load_mw")
-    I.merge_batch(batch, folder, staging, ["ord"])
+    I.merge_batch(batch, folder, ["ord"])
     assert keys(I.read_table(spark, folder), "time_utc", "load_mw") == first and len(first) == 5
+    assert I.superseded(spark, folder).count() == 1
+
+
+def test_a_batch_reads_its_own_days_alone(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    I.merge_batch(small_batch(spark, *[("a", datetime(2024, 2, d), 1.0, 0) for d in range(1, 20)]), folder, ["ord"])
+    I.merge_batch(small_batch(spark, ("a", datetime(2024, 2, 3), 7.0, 2)).where("ord = 2"), folder, ["ord"])
+    days = spark.createDataFrame([("2024-02-03",), ("2024-02-04",)], "day string")
+    held = I.touched(spark, folder, days)
+    assert keys(held, "time_utc", "load_mw") == [(datetime(2024, 2, 3), 7.0), (datetime(2024, 2, 4), 1.0)]
+    length = "spark.sql.maxMetadataStringLength"
+    before = spark.conf.get(length)
+    spark.conf.set(length, "10000")
+    plan = I.touched(spark, folder, days)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(length, before)
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "2024-02-03" in filters and "2024-02-04" in filters and "2024-01-01" not in filters and "2024-02-05" not in filters
+    assert I.read_table(spark, folder).count() == 5 + 19 and "Join" not in plan
+
+
+def test_a_version_without_its_manifest_is_not_seen(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    assert I.read_table(spark, folder) is None
+    I.merge_batch(small_batch(spark), folder, ["ord"])
+    before = keys(I.read_table(spark, folder), "time_utc", "load_mw")
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(I, "manifest", lambda s, f, known=I.manifest: lost() if spark.read.parquet(f"{f}/data").select("version").distinct().count() > 1 else known(s, f))
+    try:
+        I.merge_batch(small_batch(spark, ("a", datetime(2024, 1, 1, 3), 50.0, 5)), folder, ["ord"])
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert keys(I.read_table(spark, folder), "time_utc", "load_mw") == before
+
+
+def test_many_days_are_joined(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    I.merge_batch(small_batch(spark, *[("a", datetime(2024, 2, d), 1.0, 0) for d in range(1, 9)]), folder, ["ord"])
+    monkeypatch.setattr(I, "MOST_DAYS", 2)
+    days = spark.createDataFrame([("2024-02-01",), ("2024-02-02",), ("2024-02-03",)], "day string")
+    assert I.touched(spark, folder, days).count() == 3

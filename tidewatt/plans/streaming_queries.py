@@ -18,24 +18,26 @@ LAST = X.PARTS + """, last as (
 
 
 def update(spark, sf, features=False):
-    """Stream the events file through the merge; returns the target folder."""
+    """Stream the events through the merge in two batches that share their days; returns the target folder."""
     target = f"{shared_dir(spark)}/panel-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.read.parquet(f"{sf}/events.parquet")
 
     def to_panel(batch):
         typed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
         return X.parts_of(typed)
 
-    I.run_updates(
-        spark,
-        sf,
-        schema,
-        to_panel,
-        target,
-        ["part_no", "row_ord"],
-        features=f"{target}/features" if features else None,
-        pathGlobFilter="events.parquet",
-    )
+    for half in (0, 1):
+        # Each half is one part of every hour, so both batches hold rows of every day; the second takes up what is new.
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{target}/in")
+        I.run_updates(
+            spark,
+            f"{target}/in",
+            events.schema,
+            to_panel,
+            target,
+            ["part_no", "row_ord"],
+            features=f"{target}/features" if features else None,
+        )
     return target
 
 

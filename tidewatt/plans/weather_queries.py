@@ -183,16 +183,19 @@ def _(spark, sf):
     return W.join_weather_load(weather, X.panel(spark, sf))
 
 
+#: The value that each station must have, station by station.
+NEEDED = ["temperature_2m", "cloud_cover", "temperature_2m", "cloud_cover", "temperature_2m"]
+
+
 @query(
     "common_times",
-    f"""with {X.STATION_WEATHER} select time_utc from station_weather where station_id = 0 and temperature_2m is not null
-        intersect select time_utc from station_weather where station_id = 1 and cloud_cover is not null
-        intersect select time_utc from station_weather where station_id = 2 and temperature_2m is not null""",
+    f"with {X.STATION_WEATHER} "
+    + " intersect ".join(f"select time_utc from station_weather where station_id = {n} and {v} is not null" for n, v in enumerate(NEEDED)),
 )
 def _(spark, sf):
+    """Times at which all stations have their value."""
     grid = X.station_weather(spark, sf)
-    pick = lambda n, v: grid.where((F.col("station_id") == n) & F.col(v).isNotNull())
-    return W.intersect_times(pick(0, "temperature_2m"), pick(1, "cloud_cover"), pick(2, "temperature_2m"))
+    return W.intersect_times(*[grid.where((F.col("station_id") == n) & F.col(v).isNotNull()) for n, v in enumerate(NEEDED)])
 
 
 @query(
