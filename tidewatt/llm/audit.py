@@ -10,6 +10,7 @@ and every order of the filters is worked out on the counts of the 32 patterns a
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import permutations
 
@@ -19,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatt.llm.common import materialize, whole_text
+from tidewatt.llm.common import give_back, materialize, whole_text
 
 FILTERS = "ABCDE"
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 25
 #: Ranges of word hashes within which the dictionary numbers words: a few hundred thousand each at 10^9 words.
 BUCKETS = 4096
 CAPITALS, SPECIALS = bytes(range(65, 91)), b"#$%&*|"
@@ -31,29 +32,38 @@ NO_ID = (1 << 63) - 1
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Integers as compressed bytes: small ones take about a byte or less."""
-    values = np.ascontiguousarray(values, "<i8")
-    return len(values).to_bytes(8, "little") + pa.compress(values.view("u1").reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+    """Integers of up to 32 bits as compressed bytes: small ones take about a byte or less."""
+    planes = np.ascontiguousarray(values, "<u4").view("u1").reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), "u1").reshape(8, n).T.copy().view("<i8").reshape(-1)
+    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), "u1").reshape(4, n).T.copy().view("<u4").reshape(-1).astype("i8")
+
+
+class Vocabulary(dict):
+    """Word -> its number, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Shard:
     """Rows of the matrix under the shard's own vocabulary, and what else the filters need of each text."""
 
     def __init__(self):
-        self.words: dict[bytes, int] = {}
+        self.words = Vocabulary()
         self.ids, self.parts, self.flags, self.hashes, self.ends, self.codes, self.counts = [], [], [], [], [], [], []
         self.size = self.stored = 0
 
     def add(self, doc_id: int | None, part: str, text: str) -> None:
         data = text.encode()
-        words, known = data.split(), self.words  # bytes split at the six ASCII white-space characters
-        row = np.fromiter((known.setdefault(w, len(known)) for w in words), "i8", len(words))
-        codes, counts = np.unique(row, return_counts=True)
+        row = Counter(data.split())  # bytes split at the six ASCII white-space characters
+        codes = np.array(list(map(self.words.__getitem__, row)), "u4")
+        order = codes.argsort()
+        codes, counts = codes[order], np.array(list(row.values()), "u4")[order]
         shouts = 100 * (len(data) - len(data.translate(None, CAPITALS))) > 10 * len(text)
         marked = len(data.translate(None, SPECIALS)) < len(data)
         self.ids.append(NO_ID if doc_id is None else doc_id)
@@ -71,7 +81,7 @@ class Shard:
         first = {}
         for h, i in zip(self.hashes, self.ids):
             first[h] = min(i, first.get(h, i))
-        steps = [np.diff(c, prepend=0) for c in self.codes]
+        steps = [np.diff(c, prepend=np.uint32(0)) for c in self.codes]
         return pa.record_batch(
             {
                 "shard": pa.array([name], pa.int64()),
@@ -108,6 +118,8 @@ def split_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, sha
                     shard, made = Shard(), made + 1
         if shard.ids:
             yield shard.row(task << 32 | made)
+        del shard
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(part_col).cast("string"), F.lit("")), whole_text(text_col))
     return materialize(rows.toDF("id", "part", "text").mapInArrow(sharded, SHARD), "shards")
@@ -128,39 +140,38 @@ def dictionary(shards: DataFrame) -> DataFrame:
 
 
 def term_matrix(shards: DataFrame, terms: DataFrame) -> DataFrame:
-    """The shards with `terms`: the dictionary's number of each word of their own vocabulary, in its order.
+    """The shards with `terms`: (at, code), the dictionary's number of each word of their own vocabulary.
 
     A frequent word meets the dictionary once a shard.
     """
     own = shards.select("shard", F.posexplode("words").alias("at", "word"))
-    named = own.join(terms, "word").select("shard", F.struct("at", "code").alias("t"))
-    lists = named.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["code"]).alias("terms"))
-    return shards.drop("words").join(lists, "shard", "left")
+    named = own.join(terms, "word").groupBy("shard").agg(F.collect_list(F.struct("at", "code")).alias("terms"))
+    return shards.drop("words").join(named, "shard", "left")
 
 
-def renumbered(ends: bytes, codes: bytes, counts: bytes, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's matrix in global numbers: (row starts, columns, values), columns ascending within each row."""
-    sizes, steps, values = unpacked(ends), unpacked(codes), unpacked(counts)
+def renumbered(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matrix of row `at` in the dictionary's numbers: (row starts, columns, values)."""
+    sizes, steps, values = (unpacked(batch.column(c)[at].as_py()) for c in ("ends", "codes", "counts"))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     if not len(steps):
         return starts, steps, values
+    own = batch.column("terms")[at].values
+    terms = np.empty(len(own), "i8")
+    terms[own.field("at").to_numpy()] = own.field("code").to_numpy()
     run = np.cumsum(steps)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    local = run - np.repeat(np.concatenate([[0], run])[starts[:-1]], sizes)
-    columns = terms[local]
-    order = np.lexsort((columns, row))
-    return starts, columns[order], values[order]
+    return starts, terms[run - np.repeat(np.concatenate([[0], run])[starts[:-1]], sizes)], values
 
 
 def csr_shards(matrix: DataFrame) -> DataFrame:
-    """shard, ids, row_starts, columns, counts: the document-term matrix itself, in global numbers."""
+    """shard, ids, row_starts, columns, counts: the document-term matrix itself, columns ascending within each row."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                starts, columns, values = renumbered(r["ends"], r["codes"], r["counts"], np.array(r["terms"] or [], "i8"))
-                ids = [None if i == NO_ID else i for i in r["ids"]]
-                cells = [[x] for x in (r["shard"], ids, starts, columns, values)]
+            for at in range(batch.num_rows):
+                starts, columns, values = renumbered(batch, at)
+                order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+                ids = [None if i == NO_ID else i for i in batch.column("ids")[at].as_py()]
+                cells = [[x] for x in (batch.column("shard")[at].as_py(), ids, starts, columns[order], values[order])]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, [pa.int64()] + [pa.list_(pa.int64())] * 4)], names=["shard", "ids", "row_starts", "columns", "counts"])
 
     return matrix.select("shard", "ids", "ends", "codes", "counts", "terms").mapInArrow(rows, "shard long, ids array<long>, row_starts array<long>, columns array<long>, counts array<long>")
@@ -184,18 +195,18 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     def masked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                starts, _, values = renumbered(r["ends"], r["codes"], r["counts"], np.array(r["terms"] or [], "i8"))
+            for at in range(batch.num_rows):
+                starts, columns, values = renumbered(batch, at)
+                ids, parts, flags, hashes, firsts, first_ids, late = (batch.column(c)[at].as_py() for c in ("ids", "parts", "flags", "hashes", "firsts", "first_ids", "late"))
                 sums = np.concatenate([[0], np.cumsum(values)])
                 words, distinct = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
-                first, late = dict(zip(r["firsts"], r["first_ids"])), set(r["late"] or [])
-                again = np.array([h in late or i > first[h] for h, i in zip(r["hashes"], r["ids"])], bool)
-                mask = (words < 100) + 2 * (100 * distinct < 80 * words) + np.array(r["flags"]) + 16 * again
-                ids = pa.array([None if i == NO_ID else i for i in r["ids"]], pa.int64())
-                yield pa.record_batch({"doc_id": ids, "part": pa.array(r["parts"], pa.string()), "mask": pa.array(mask, pa.int32())})
-
-    needed = matrix.select("shard", "ids", "parts", "flags", "hashes", "firsts", "first_ids", "ends", "codes", "counts", "terms", "late")
-    return needed.mapInArrow(masked, "doc_id long, part string, mask int")
+                first, gone = dict(zip(firsts, first_ids)), set(late or [])
+                again = np.array([h in gone or i > first[h] for h, i in zip(hashes, ids)], bool)
+                mask = (words < 100) + 2 * (100 * distinct < 80 * words) + np.array(flags) + 16 * again
+                ids = pa.array([None if i == NO_ID else i for i in ids], pa.int64())
+                yield pa.record_batch({"doc_id": ids, "part": pa.array(parts, pa.string()), "mask": pa.array(mask, pa.int32())})
+
+    return materialize(matrix.mapInArrow(masked, "doc_id long, part string, mask int"), "masks")
 
 
 def with_labels(masks: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
