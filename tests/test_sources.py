@@ -184,6 +184,28 @@ def test_runs_with_different_headers_keep_their_columns(spark, tmp_path):
     assert {(r["actual_load_mw"], r["predicted_load_mw"]) for r in predictions.collect()} == {("200", "100")}
 
 
+def test_files_of_several_headers_are_opened_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("region,time_utc,load_mw\npge,2024-01-01 00:00:00,1\n")
+    (tmp_path / "b.csv").write_text('time_utc,"load, of all",region\n2024-01-01 01:00:00,"2,5",pge\n')
+    (tmp_path / "c.csv").write_text("region,time_utc,load_mw\nsce,2024-01-01 00:00:00,3\n")
+    headers = SF.read_headers(spark, str(tmp_path))
+    assert {tuple(r["header"]) for r in headers.collect()} == {("region", "time_utc", "load_mw"), ("time_utc", "load, of all", "region")}
+    rows = SF.read_by_header(spark, str(tmp_path), headers)
+    got = {(r["file_name"], r["region"], r["load_mw"], r["load, of all"]) for r in rows.collect()}
+    assert got == {("a.csv", "pge", "1", None), ("c.csv", "sce", "3", None), ("b.csv", "pge", None, "2,5")}
+
+    def leaves(plan):
+        kids = plan.children()
+        return [plan] if kids.isEmpty() else [x for i in range(kids.size()) for x in leaves(kids.apply(i))]
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = SF.read_by_header(spark, str(tmp_path), headers)._jdf.queryExecution().executedPlan()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    plan.executeCollect()
+    scans = [x for x in leaves(plan) if x.metrics().contains("numFiles")]
+    assert sorted(x.metrics().apply("numFiles").value() for x in scans) == [1, 2]
+
+
 def test_panel_files_of_other_columns(spark, tmp_path):
     (tmp_path / f"{K.DATASET_PREFIX}_20250101_to_20250102.csv").write_text("region,time_utc,load_mw\npge,2025-01-01 00:00:00,5\n")
     (tmp_path / f"{K.DATASET_PREFIX}_20250103_to_20250104.csv").write_text("time_utc,region,extra\n2025-01-03 00:00:00,sce,x\n")

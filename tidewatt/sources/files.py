@@ -115,6 +115,10 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFra
     )
 
 
+#: A comma with an even number of quotes behind it: one that parts two fields.
+BETWEEN_FIELDS = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def read_headers(spark: SparkSession, folder: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
     """First line of each CSV file as an array of column names. One row per file."""
     lines = (
@@ -126,7 +130,7 @@ def read_headers(spark: SparkSession, folder: str | Sequence[str], glob: str = "
     # Only the leading rows of each file's first block reach this point in order.
     first = lines.withColumn("line_no", F.monotonically_increasing_id())
     return pick_one(first, ["file_name"], [F.col("line_no")]).select(
-        "file_name", F.transform(F.split("value", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))).alias("header")
+        "file_name", F.transform(F.split("value", BETWEEN_FIELDS), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))).alias("header")
     )
 
 
@@ -139,16 +143,20 @@ RUN_COLUMNS = {
 def read_by_header(spark: SparkSession, paths: str | Sequence[str], files: DataFrame, glob: str = "*.csv") -> DataFrame:
     """Rows of the files that `files` (file_name, header, ...) names, as text, every file under its own header.
 
-    Files of one header are read together: there are as many scans as different headers. A column that only some
-    files have is null in the others. Adds the columns of `files` but the header, and each row's place: `file_path`,
+    Files of one header are read together by a scan that names them, so every file is opened once. A column that only
+    some files have is null in the others. Adds the columns of `files` but the header, and each row's place: `file_path`,
     `block_start` (splits of a file order by their start) and `row_no` (rows inside a split).
     """
-    headers = [r["header"] for r in files.select("header").distinct().collect()]  # shapes of files, not files
+    # One row a file, as the driver's own listing of the folder has.
+    shapes: dict[tuple[str, ...], list[str]] = {}
+    for r in files.select("header", "file_name").distinct().toLocalIterator():
+        shapes.setdefault(tuple(r["header"]), []).append(r["file_name"])
     own = [c for c in files.columns if c != "header"]
     parts = []
-    for header in headers:
+    for header, names in sorted(shapes.items()):
         named = StructType([StructField(c, StringType()) for c in header])
         raw = spark.read.option("header", True).option("pathGlobFilter", glob).schema(named).csv(paths)
+        raw = raw.where(F.col("_metadata.file_name").isin(names))
         raw = raw.select(
             *[F.col(f"`{c}`") for c in header if c not in own],
             F.col("_metadata.file_name").alias("file_name"),
