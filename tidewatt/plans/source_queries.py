@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatt import constants as K
@@ -18,6 +20,7 @@ from tidewatt.sources import files as SF
 from tidewatt.sources import links as L
 from tidewatt.sources import sheets as SH
 from tidewatt.sources.weather_json import explode_hourly_json
+from tidewatt.session import shared_dir
 
 # ---- file names ---------------------------------------------------------------------------
 
@@ -330,6 +333,56 @@ def _(spark, sf):
     return area_std(spark, sf)
 
 
+LOCAL = "America/Los_Angeles"
+
+
+@query(
+    "area_local_std",
+    f"""with {AREA} select event_id, timezone('UTC', timezone('{LOCAL}', timezone('{LOCAL}', timezone('UTC', time_utc)))) as time_utc, region, load_mw from std""",
+)
+def _(spark, sf):
+    """The feed by local starts: every third row tells its offset, the others are market time."""
+    feed = X.area_feed(spark, sf)
+    utc = F.col("Interval Start UTC").try_cast("timestamp")
+    local = F.from_utc_timestamp(utc, LOCAL)
+    hours = (F.unix_timestamp(utc) - F.unix_timestamp(local)) / 3600
+    told = F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.format_string("-%02d:00", hours.cast("int")))
+    text = F.when(F.col("event_id") % 3 == 0, told).otherwise(F.date_format(local, "yyyy-MM-dd HH:mm:ss"))
+    renamed = feed.withColumn("Interval Start Local", F.coalesce(text, F.lit("bad"))).drop("Interval Start UTC")
+    return A.standardize_area_long(renamed, keep=("event_id",))
+
+
+@query(
+    "area_wide_total",
+    f"""with {AREA}, told as (select time_utc, arg_max(load_mw, event_id) as caiso from named
+          where tac_area_name = 'CA ISO-TAC' and time_utc is not null and load_mw is not null group by 1)
+        select time_utc, pge, sce, sdge, vea, mwd, caiso from wide full join told using (time_utc)""",
+)
+def _(spark, sf):
+    """A feed that reports its own total, which is then not summed."""
+    feed = X.area_feed(spark, sf)
+    area = next(c for c in feed.columns if "tac" in c.lower())
+    named = feed.withColumn(area, F.when(F.col(area) == "CA ISO-TAC", F.lit("Total")).otherwise(F.col(area)))
+    return A.area_feed_to_wide(named, "event_id")
+
+
+@query(
+    "panel_files_read",
+    f"""with {X.PANEL} select region, time_utc, load_mw, case when hour(time_utc) % 3 = 2 then 'x, y' end as "note, of the feed" from panel""",
+)
+def _(spark, sf):
+    """The panel written as CSV files of three headers, one with a comma in a name, and read back by their headers."""
+    folder = f"{shared_dir(spark)}/panel-files-{uuid.uuid4().hex}"
+    rows = X.panel(spark, sf).withColumn("note, of the feed", F.lit("x, y")).withColumn("time_utc_text", F.date_format("time_utc", "yyyy-MM-dd HH:mm:ss"))
+    shapes = [["region", "time_utc", "load_mw"], ["load_mw", "time_utc", "region"], ["time_utc", "note, of the feed", "region", "load_mw"]]
+    for k, columns in enumerate(shapes):
+        own = rows.where(F.hour("time_utc") % 3 == k).drop("time_utc").withColumnRenamed("time_utc_text", "time_utc")
+        own.select(*[f"`{c}`" for c in columns]).write.option("header", True).csv(f"{folder}/shape-{k}")
+    paths = [f"{folder}/shape-{k}" for k in range(len(shapes))]
+    read = SF.parse_panel(SF.read_by_header(spark, paths, SF.read_headers(spark, paths)))
+    return read.select("region", "time_utc", "load_mw", "note, of the feed")
+
+
 @query(
     "dayahead_std",
     f"""with {X.AREA_LONG} select event_id, try_strptime(interval_start_gmt, '%Y-%m-%d %H:%M:%S') as time_utc,
