@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatt.llm.components import connected_components, local_components
 from tidewatt.llm.queries import tokenizer_file
@@ -96,6 +97,15 @@ def test_slots_follow_their_weights_everywhere(spark):
     assert 0.35 < counts["sa"] / 60 < 0.7 and 0.3 < counts["sb"] / 30 < 0.7
 
 
+def test_edges_of_ten_thousand_million_slots(spark):
+    from tidewatt.llm.mixing import POINTS, edge
+
+    total = 10**10 + 7
+    cuts = [0, 1, total // 3, total - 1, total, 9 * 10**9]
+    got = spark.createDataFrame([(c,) for c in cuts], "cum long").select("cum", edge(F.col("cum"), total).alias("at")).collect()
+    assert {r["cum"]: r["at"] for r in got} == {c: c * POINTS // total for c in cuts}
+
+
 def test_mix_of_odd_rows(docs, nothing):
     from tidewatt.llm.mixing import mix, mixed_documents, mixed_texts
 

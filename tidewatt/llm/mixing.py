@@ -85,6 +85,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return Mix(sources, documents, schedule(sources), block_words)
 
 
+def edge(cum: Column, total: int) -> Column:
+    """The place among the POINTS of `cum` slots out of `total`; in decimals, as the product passes 64 bits."""
+    scaled = cum.cast("decimal(19,0)") * F.lit(POINTS).cast("decimal(11,0)")
+    return F.floor(scaled / F.lit(max(total, 1)).cast("decimal(19,0)")).cast("long")
+
+
 def schedule(sources: DataFrame) -> DataFrame:
     """(slot, source_key, epoch, block, words) of the slots that take words."""
     spark = sources.sparkSession
@@ -93,8 +99,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     slack = 8 + int(2.1 * (wanted + 1).bit_length())
     total = int(wanted) + kinds * slack
     upto = F.sum(F.col("n") + slack).over(Window.orderBy("source_key"))
-    edge = lambda cum: F.floor(cum * F.lit(POINTS) / max(total, 1)).cast("long")
-    shares = sources.withColumn("lo", edge(upto - F.col("n") - slack)).withColumn("hi", edge(upto))
+    shares = sources.withColumn("lo", edge(upto - F.col("n") - slack, total)).withColumn("hi", edge(upto, total))
     width = POINTS // CELLS
     cells = shares.where("hi > lo").select("*", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("cell"))
 
