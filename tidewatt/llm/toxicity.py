@@ -166,7 +166,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
             plain = ([(k.category, k.words, k.earlier, k.bias) for k in chain.links], chain.cut)
             yield pa.record_batch({"model": pa.array([pickle.dumps(plain)], pa.binary())})
 
-    found = rows.coalesce(1).sortWithinPartitions("_text", *categories).mapInArrow(trained, "model binary").collect()
+    # The scan and the join stay spread; only the sample moves to one task.
+    found = rows.repartition(1).sortWithinPartitions("_text", *categories).mapInArrow(trained, "model binary").collect()
     if not found:
         return Chain(tuple(Link(c, {}, (0.0,) * i, 0.0) for i, c in enumerate(categories)), 0.75)
     import pickle
