@@ -37,8 +37,11 @@ LOAD_HEADER_NAMES = {
     "vea": ["vea", "vea tac", "vea-tac"],
     "mwd": ["mwd", "mwd tac", "mwd-tac"],
 }
+# Fixed value: sheet header names of the date column.
 DATE_HEADER_NAMES = ["date", "opr_dt", "opr date", "trading date", "trade date", "market date"]
+# Fixed value: sheet header names of the hour column.
 HOUR_HEADER_NAMES = ["hr", "hour", "opr_hr", "he", "hour ending", "he hour"]
+# Fixed value: rows of a sheet in which its header is looked for.
 HEADER_SCAN_ROWS = 80
 
 # How area names of the actual-load feed start, and words that mean the total.
