@@ -74,6 +74,38 @@ def test_near_copies_of_one_text_meet_through_it(spark):
     assert len({group[i] for i in order}) <= len(got)
 
 
+def test_chains_and_crowds_lose_no_link(spark):
+    from tidewatt.llm.components import connected_components
+    from tidewatt.llm.nearcopies import missed_links, near_copy_links, nodes_of
+
+    rng = np.random.default_rng(21)
+    texts = ["", " ", "\t\n", "one two", "ONE  two", "one two three"]
+    for _ in range(8):  # chains: a text is near the one before it, now and then not even that
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        for _ in range(25):
+            texts.append(" ".join(words))
+            n = int(rng.choice([4, 5, 6, 8]))
+            words = words[n:] + [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    base = [f"b{x}" for x in range(120)]
+    for _ in range(150):  # a crowd: cut and edited copies on either side of the limit
+        cut = int(rng.integers(0, 20))
+        texts.append(edited(base[cut:] if rng.random() < 0.5 else base[: 120 - cut], rng.uniform(0.01, 0.06), rng))
+    texts = list(dict.fromkeys(texts[i] for i in rng.permutation(len(texts))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = nodes_of(df, "doc_id", "text")
+    want = brute_near_copies(texts).tolist()
+
+    def groups(links):
+        roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
+        return [roots.get(i, i) for i in range(len(texts))]
+
+    assert 50 < len(set(want)) < len(texts) - 150
+    assert groups(near_copy_links(df, nodes, "text", 0.8)) == want
+    none = spark.createDataFrame([], "a long, b long")
+    for every, often in ((16, 3), (1, 2), (2, 20)):  # mostly rare shingles, all shared ones frequent, some of both
+        assert groups(missed_links(df, nodes, none, "text", 0.8, every, often)) == want
+
+
 def test_near_copies_of_odd_rows(spark):
     from tests.llm.test_operators import ODD
     from tidewatt.llm.nearcopies import without_near_copies

@@ -4,8 +4,13 @@ Candidates come from the Gray-ordered SimHash index over several fingerprints a
 radius; they are then compared by their whole shingle sets. An edited copy is near its original but not always near
 another edited copy, so within a group of candidates the one nearest to the group's majority fingerprint is compared
 with all others; then the same is done with those that it leaves, against the nearest of their own and the nearest of
-those linked before, as long as a round links a fair share. What is left then is compared with its neighbours in the
-Gray orders of all blocks. No group is ever expanded to its pairs.
+those linked before, as long as a round links a fair share.
+
+What fingerprints and rounds miss is found exactly, among texts that they did not connect: two sets of that similarity
+share one of the first fifth of their shingles, in any order that is the same for all. The order is by hash, with
+shingles that many texts hold at the end. Texts that share an early rare shingle are compared pair by pair. Texts that
+reach their frequent shingles within the fifth are compared lot by lot; lots are skipped that lie too far apart, by
+their distances to one text of the group, or that are connected already. No group is ever expanded to its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewatt.llm.common import materialize, slices, whole_text
 from tidewatt.llm.components import connected_components
 from tidewatt.llm.repeats import text_key
-from tidewatt.llm.simhash import BITS, gray_rank, link_stars, turned
+from tidewatt.llm.simhash import BITS, forest, link_stars
 
 WORDS, LIKENESS = 5, 0.8
 #: Candidates: words of their shingles, fingerprints a text, and bits that may differ. A pair at the limit of 0.8 by
@@ -29,6 +34,11 @@ WORDS, LIKENESS = 5, 0.8
 PAIR, SEEDS, RADIUS = 2, 6, 10
 #: Rounds go on while one links at least this share of what is unlinked.
 FAIR = 0.05
+#: Frequent shingles: those of at least OFTEN texts of one in EVERY, MOST of them. They only decide an order, no result.
+EVERY, OFTEN, MOST = 16, 3, 200_000
+#: Shingles in a lot, but for the rest of its last text, and what a text counts for at least.
+LOT, LEAST, SLAB = 1 << 16, 256, 8192
+EPS = 1e-9
 STEP, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -114,17 +124,22 @@ def shingle_sets(docs: DataFrame, members: DataFrame, text_col: str) -> DataFram
     return materialize(met.mapInArrow(cut, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
 
 
-def verified(edges: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets are alike."""
+def likened(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, like): the edges (a, b) with the similarity of their shingle sets."""
 
     def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            near = [likeness(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) >= at_least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+            like = [likeness(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.record_batch([*batch.columns[:2], pa.array(like, pa.float64())], names=["a", "b", "like"])
 
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long, like double")
+
+
+def verified(edges: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets are alike."""
+    return likened(edges, sets).where(F.col("like") >= at_least).select("a", "b")
 
 
 def majority(live: DataFrame) -> DataFrame:
@@ -161,14 +176,149 @@ def near_copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, at_least:
         live = materialize(live.join(done, F.col("node") == F.col("a"), "left_anti"), "live")
         if more < FAIR * before or live.isEmpty():
             break
-    points = members.join(live.select("node"), "node", "left_semi").select("node", "root", F.posexplode("fps").alias("seed", "fp"))
-    orders = F.explode(F.array(*[F.struct(F.lit(t).alias("block"), gray_rank(turned(F.col("fp"), t)).alias("rank")) for t in range(4)]))
-    ranked = points.select("node", "root", "seed", "fp", orders.alias("o")).withColumn("lead", F.shiftright("o.rank", 48))
-    after = Window.partitionBy("root", "seed", "o.block", "lead").orderBy("o.rank", "node")
-    pairs = ranked.select("node", "fp", F.lead(F.struct("node", "fp")).over(after).alias("next")).where("next is not null")
-    near = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("next.fp"))) <= RADIUS)
-    rest = near.select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")).where("a < b").distinct()
-    return materialize(found.union(verified(rest, sets, at_least)), "near-links")
+    found = materialize(found, "found")
+    return materialize(found.union(missed_links(docs, nodes, found, text_col, at_least)), "near-links")
+
+
+def frequent(docs: DataFrame, text_col: str, every: int, often: int) -> np.ndarray:
+    """Shingles that at least `often` of one in `every` distinct texts hold, ascending: MOST of them at most."""
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            sets = [np.unique(shingles(t, WORDS)) for t in batch.column(0).to_pylist()]
+            yield pa.record_batch({"h": pa.array(np.concatenate(sets).view("i8"), pa.int64())})
+
+    texts = docs.select(whole_text(text_col).alias("text")).select(*text_key(), "text")
+    some = texts.where(F.pmod("k1", F.lit(every)) == 0).dropDuplicates(["k1", "k2"]).select("text")
+    counts = some.mapInArrow(held, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often)
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST).collect()], "i8"))
+
+
+def early(h: np.ndarray, late: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending distinct shingles, those among the first that a set of that similarity must share one of: the rare
+    ones, and the frequent ones (`late`), which come after all rare ones."""
+    first = len(h) - int(np.ceil(at_least * len(h) - EPS)) + 1
+    is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
+    rare = h[~is_late][:first]
+    return rare, h[is_late][: max(first - len(rare), 0)]
+
+
+def prefixes(docs: DataFrame, nodes: DataFrame, text_col: str, at_least: float, late: np.ndarray) -> DataFrame:
+    """(node, n, rare, hot, last) of each node: its number of distinct shingles, the early rare and frequent ones, and
+    the last rare one up to which the early ones are all that the text has (the largest number if that is all)."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            sets = [np.unique(shingles(t, WORDS).view("i8")) for t in batch.column(2).to_pylist()]
+            parts = [early(h, late, at_least) for h in sets]
+            last = [(1 << 63) - 1 if len(hot) or not len(rare) else int(rare[-1]) for rare, hot in parts]
+            cells = [pa.array([x.tolist() for x in p], pa.list_(pa.int64())) for p in zip(*parts)]
+            yield pa.record_batch([*batch.columns[:2], pa.array([len(h) for h in sets], pa.int32()), *cells, pa.array(last, pa.int64())], names=["k1", "k2", "n", "rare", "hot", "last"])
+
+    texts = docs.select(whole_text(text_col).alias("text")).select(*text_key(), "text")
+    own = texts.mapInArrow(cut, "k1 long, k2 long, n int, rare array<long>, hot array<long>, last long").dropDuplicates(["k1", "k2"])
+    return own.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).drop("k1", "k2")
+
+
+def rare_pairs(firsts: DataFrame, at_least: float) -> DataFrame:
+    """(a, b): pairs of different components that share enough early rare shingles to be alike.
+
+    Up to the smaller `last` of two texts all shared shingles are early ones of both, so the text with that `last` can
+    share, besides them, its other shingles at most.
+    """
+    held = firsts.select("node", "comp", F.explode("rare").alias("h"))
+    end = lambda c: held.select("h", F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    shared = end("a").join(end("b"), "h").where("a_comp < b_comp").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    of = lambda c: firsts.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), (F.col("n") - F.size("rare")).alias(f"{c}_rest"), F.col("last").alias(f"{c}_last"))
+    met = shared.join(of("a"), "a").join(of("b"), "b")
+    most = F.col("c") + F.when(F.col("a_last") < F.col("b_last"), F.col("a_rest")).when(F.col("a_last") > F.col("b_last"), F.col("b_rest")).otherwise(F.least("a_rest", "b_rest"))
+    return met.where(F.least(most, "a_n", "b_n") * (1 + at_least) >= at_least * (F.col("a_n") + F.col("b_n")) - EPS).select("a", "b")
+
+
+def hot_groups(firsts: DataFrame) -> DataFrame:
+    """(node, grp): texts connected by early frequent shingles that texts of several components share."""
+    held = firsts.select("node", "comp", F.explode("hot").alias("h"))
+    open_ = held.groupBy("h").agg(F.min("node").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h", "first")
+    roots = connected_components(held.join(open_, "h").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    return roots.union(roots.select("root", "root").distinct()).toDF("node", "grp")
+
+
+def near_pairs(one: list[np.ndarray], two: list[np.ndarray], at_least: float) -> np.ndarray:
+    """Matrix of which sets of the two lists are alike: products of their shingle incidences, a slab of shingles at a time."""
+    sizes = [np.array([len(x) for x in some], "i8") for some in (one, two)]
+    flat = [np.concatenate(some) for some in (one, two)]
+    known = np.intersect1d(*flat)
+    shared = np.zeros((len(one), len(two)), "f8")
+    rows, places = [], []
+    for some, n in zip(flat, sizes):
+        at = np.searchsorted(known, some)
+        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == some) if len(known) else np.zeros(0, "i8")
+        rows.append(np.repeat(np.arange(len(n)), n)[hit])
+        places.append(at[hit])
+    for start in range(0, len(known), SLAB):
+        x, y = (np.zeros((len(n), min(SLAB, len(known) - start)), "f4") for n in sizes)
+        for m, r, p in zip((x, y), rows, places):
+            inside = (p >= start) & (p < start + SLAB)
+            m[r[inside], p[inside] - start] = 1
+        shared += x @ y.T
+    return shared >= at_least * (sizes[0][:, None] + sizes[1][None, :] - shared) - EPS
+
+
+def links_across(grouped: DataFrame, sets: DataFrame, found: DataFrame, at_least: float) -> DataFrame:
+    """(a, b): links that connect what texts of a group connect that are alike and of different components.
+
+    `grouped`: (node, grp, comp, n). A text's distance (1 - similarity) to the group's most linked text differs from
+    that of a text like it by 1 - `at_least` at most, as these distances are a metric.
+    """
+    degrees = found.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.col("node").alias("node"))
+    pivots = materialize(grouped.join(degrees, "node", "left").groupBy("grp").agg(F.max(rank)["node"].alias("b")), "pivots")
+    like = likened(grouped.join(pivots, "grp").select(F.col("node").alias("a"), "b"), sets).select(F.col("a").alias("node"), (1 - F.col("like")).alias("far"))
+    crowd = F.count(F.lit(1)).over(Window.partitionBy("grp", "comp"))
+    placed = grouped.join(like, "node").withColumn("crowd", crowd)
+    order = Window.partitionBy("grp").orderBy(F.col("crowd") == 1, F.when(F.col("crowd") > 1, F.col("comp")), "far", "node")
+    weight = F.greatest(F.col("n"), F.lit(LEAST)).cast("long")
+    before = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)) - weight
+    placed = materialize(placed.withColumn("lot", F.floor(before / LOT)).select("grp", "lot", "node", "comp", "far", "n"), "placed")
+    span = [f(c).alias(f"{c}_{f.__name__}") for c in ("comp", "far", "n") for f in (F.min, F.max)]
+    spans = placed.groupBy("grp", "lot").agg(*span)
+    left, right = spans.alias("l"), spans.alias("r")
+    reach = 1 - at_least + EPS
+    close = f"l.far_min - r.far_max <= {reach} and r.far_min - l.far_max <= {reach}"
+    sized = f"l.n_max >= {at_least} * r.n_min - {EPS} and r.n_max >= {at_least} * l.n_min - {EPS}"
+    several = "least(l.comp_min, r.comp_min) < greatest(l.comp_max, r.comp_max)"
+    pairs = left.join(right, F.expr(f"l.grp = r.grp and l.lot <= r.lot and {close} and {sized} and {several}")).select("l.grp", F.col("l.lot").alias("x"), F.col("r.lot").alias("y"))
+    texts = placed.join(sets, "node").groupBy("grp", "lot").agg(F.collect_list(F.struct("node", "comp", "shingles")).alias("texts"))
+    texts = materialize(texts, "lots")
+
+    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            one, two = (column[0].as_py() for column in batch.columns)
+            comps = [np.array([t["comp"] for t in some], "i8") for some in (one, two)]
+            near = near_pairs(*([np.frombuffer(t["shingles"], "u8") for t in some] for some in (one, two)), at_least)
+            i, j = np.nonzero(near & (comps[0][:, None] != comps[1][None, :]))
+            ids = np.array([t["node"] for t in one + two], "i8")
+            member, root = forest(len(ids), [(i, j + len(one))])
+            yield pa.record_batch({"a": pa.array(ids[member], pa.int64()), "b": pa.array(ids[root], pa.int64())})
+
+    side = lambda c: texts.select("grp", F.col("lot").alias(c), F.col("texts").alias(f"{c}_texts"))
+    met = pairs.join(side("x"), ["grp", "x"]).join(side("y"), ["grp", "y"]).select("x_texts", "y_texts")
+    return met.mapInArrow(across, "a long, b long").where("a <> b")
+
+
+def missed_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, text_col: str, at_least: float, every: int = EVERY, often: int = OFTEN) -> DataFrame:
+    """(a, b): links of `at_least` that likeness which, with the links `found`, connect all that such links connect."""
+    late = frequent(docs, text_col, every, often)
+    comps = connected_components(found).select("node", F.col("root").alias("comp"))
+    firsts = prefixes(docs, nodes, text_col, at_least, late).join(comps, "node", "left")
+    firsts = materialize(firsts.withColumn("comp", F.coalesce("comp", "node")), "prefixes")
+    pairs = materialize(rare_pairs(firsts, at_least), "rare-pairs")
+    groups = materialize(hot_groups(firsts).join(firsts.select("node", "comp", "n"), "node"), "hot-groups")
+    met = pairs.select("a").union(pairs.select("b")).union(groups.select("node")).toDF("node").distinct()
+    sets = shingle_sets(docs, nodes.join(met, "node", "left_semi"), text_col)
+    wordless = firsts.where("n = 0").select(F.col("node").alias("a"))
+    wordless = wordless.crossJoin(wordless.agg(F.min("a").alias("b"))).where("a <> b")
+    return verified(pairs, sets, at_least).union(links_across(groups, sets, found, at_least)).union(wordless)
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = LIKENESS) -> DataFrame:
@@ -176,8 +326,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Groups are chains of links. Null and empty texts are one text. Rows that repeat an id count once; a group without
     any id keeps one row. Extra columns may have any name. An empty table gives no row. Texts travel twice: those of
-    candidates to be compared, those that stay to the result.
+    candidates to be compared, those that stay to the result. Each step's shuffle files go once its table is written.
     """
+    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     nodes = nodes_of(docs, id_col, text_col)
     gone = connected_components(near_copy_links(docs, nodes, text_col, at_least)).select("node")
     kept = nodes.join(gone, "node", "left_anti").select("doc_id", "k1", "k2").toDF("_id", "_k1", "_k2")
