@@ -15,7 +15,7 @@ from tidewatt.session import materialize  # noqa: F401  (re-exported for the ope
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: What a worker's table of chunks may hold: entries (each costs some 150 bytes besides), and bytes of chunks and values.
-CACHE_ENTRIES, CACHE_BYTES = 200_000, 16 << 20
+CACHE_ENTRIES, CACHE_BYTES = 400_000, 16 << 20
 #: Rows that Spark sends to a Python worker at once: whole texts, so fewer than its usual 10,000.
 BATCH_ROWS = 1_000
 
