@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatt.llm.common import give_back, materialize, whole_text
+from tidewatt.llm.common import give_back, materialize, slices, whole_text
 
 FILTERS = "ABCDE"
 #: Bytes of text in a shard; a longer text is a shard of its own.
@@ -61,9 +61,9 @@ class Shard:
     def add(self, doc_id: int | None, part: str, text: str) -> None:
         data = text.encode()
         row = Counter(data.split())  # bytes split at the six ASCII white-space characters
-        codes = np.array(list(map(self.words.__getitem__, row)), "u4")
+        codes = np.fromiter(map(self.words.__getitem__, row), "u4", len(row))
         order = codes.argsort()
-        codes, counts = codes[order], np.array(list(row.values()), "u4")[order]
+        codes, counts = codes[order], np.fromiter(row.values(), "u4", len(row))[order]
         shouts = 100 * (len(data) - len(data.translate(None, CAPITALS))) > 10 * len(text)
         marked = len(data.translate(None, SPECIALS)) < len(data)
         self.ids.append(NO_ID if doc_id is None else doc_id)
@@ -110,9 +110,9 @@ def split_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, sha
 
     def sharded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, made, task = Shard(), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for at in range(batch.num_rows):
-                shard.add(*(c[at].as_py() for c in batch.columns))
+        for batch in slices(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                shard.add(*row)
                 if shard.size >= shard_bytes:
                     yield shard.row(task << 32 | made)
                     shard, made = Shard(), made + 1
