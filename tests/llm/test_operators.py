@@ -233,6 +233,24 @@ def test_records_round_trip(spark, docs, nothing, tmp_path):
     assert records_digest(spark, empty).count() == 0
 
 
+def test_full_table_keeps_the_chunks_in_use(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tidewatt.llm import common
+    from tidewatt.llm.records import Encoder
+
+    path, learnt = tokenizer_file("byte_bpe_50k.json"), Counter()
+    encode, library = Encoder(path), Tokenizer.from_file(path)
+    learn = encode.known.learn
+    monkeypatch.setattr(encode.known, "learn", lambda chunk: learnt.update([chunk]) or learn(chunk))
+    monkeypatch.setattr(common, "CACHE_ENTRIES", 50)
+    for i in range(40):
+        t = f"often é, word{i}x " + " ".join(f"rare{chr(97 + j)}{chr(97 + i % 26)}{'z' * (i // 26)}" for j in range(20)) + " often"
+        assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert learnt["often"] == learnt[" often"] == learnt[" é"] == learnt[","] == 1
+    assert len(encode.known) + len(encode.known.before) < 200
+
+
 def test_damaged_record_is_an_error():
     from tidewatt.llm.records import CLOSE, frame, frames
 

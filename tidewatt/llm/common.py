@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import sys
 import types
@@ -15,6 +16,7 @@ from tidewatt.session import materialize  # noqa: F401  (re-exported for the ope
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: What a worker's table of chunks may hold: entries (each costs some 150 bytes besides), and bytes of chunks and values.
+#: An aged table holds as much again.
 CACHE_ENTRIES, CACHE_BYTES = 400_000, 16 << 20
 #: Rows that Spark sends to a Python worker at once: whole texts, so fewer than its usual 10,000.
 BATCH_ROWS = 1_000
@@ -89,12 +91,32 @@ class ChunkTable(dict):
             self.held = 0
 
 
+class AgedTable(ChunkTable):
+    """A table whose entries stay at hand until it is full again: those used by then are kept, not learnt anew."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__(learn)
+        self.before = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.before.get(chunk)
+        if value is None:
+            value = self.learn(chunk)
+        self.keep(chunk, value)
+        return value
+
+    def room(self) -> None:
+        if len(self) > CACHE_ENTRIES or self.held > CACHE_BYTES:
+            self.before = dict(self)
+        super().room()
+
+
 #: Letters that stay one letter when a text is lower-cased or composed; U+0130 becomes two characters.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: Tokens of a byte-level tokenizer never cross these cuts: its splitting rule gives a word the one space before it,
 #: keeps the rest of a run of white space apart, and ends a run of letters before any mark but an apostrophe.
 MARKS = "!-&(-/:-@\\[-`{-~"
-SPACED_CHUNK = re.compile(rf" ?[{LETTERS}]+(?=[{MARKS}\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
+SPACED_CHUNK = re.compile(rf" ?[{LETTERS}]++(?![^{MARKS}\s])| ?\S+|\s+(?!\S)|\s+")
 #: Nor do those of a word-end tokenizer, which drops white space.
 WORD_CHUNK = re.compile(rf"\s*[{LETTERS}]+(?=[{MARKS}\s]|\Z)|\s*\S+|\s+")
 LETTERS_ONLY = re.compile(rf" ?[{LETTERS}]+")
@@ -103,11 +125,13 @@ LETTERS_ONLY = re.compile(rf" ?[{LETTERS}]+")
 #: The printable characters in which byte-level models hold bytes: a printable Latin-1 byte is itself, the others are
 #: numbered from 256 on.
 BYTES_AS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
+BYTE_CHARS = "".join(chr(BYTES_AS.get(b, b)) for b in range(256))
 
 
 def byte_level(text: str) -> str:
-    return text.encode().decode("latin-1").translate(BYTES_AS)
+    return codecs.charmap_decode(text.encode(), "strict", BYTE_CHARS)[0]
 
 
 #: Characters that Python counts as white space and the tokenizers do not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACES = "\x1c\x1d\x1e\x1f"
+ODD_SPACE = re.compile(f"[{ODD_SPACES}]")

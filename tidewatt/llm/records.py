@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatt.llm.common import LETTERS_ONLY, ODD_SPACE, SPACED_CHUNK, ChunkTable, byte_level, kept_by_worker, partitions, slices, whole_text
+from tidewatt.llm.common import LETTERS_ONLY, ODD_SPACES, SPACED_CHUNK, AgedTable, byte_level, kept_by_worker, partitions, slices, whole_text
 from tidewatt.session import shared_dir
 
 MASK_DELTA = 0xA282EAD8
@@ -82,21 +82,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
-        self.model, self.known = self.tokenizer.model, ChunkTable(self._chunk)
+        #: A text that holds any of these goes to the library whole.
+        self.whole = [*ODD_SPACES, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size(True) <= 1 << 16 else ("<u4", "I")
+        self.model, self.known = self.tokenizer.model, AgedTable(self._chunk)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunk(self, chunk: str) -> bytes:
         if LETTERS_ONLY.fullmatch(chunk):  # nothing for the library to split: its model takes it as it is
-            raw = chunk.replace(" ", "Ġ") if chunk.isascii() else byte_level(chunk)
-            return array("H" if self.dtype == "<u2" else "I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+            return array(self.code, [t.id for t in self.model.tokenize(byte_level(chunk))]).tobytes()
         return self._library([chunk])[0]
 
     def __call__(self, text: str) -> np.ndarray:
-        if ODD_SPACE.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.whole):
             return np.frombuffer(self._library([text])[0], self.dtype)
         self.known.room()
         return np.frombuffer(b"".join(map(self.known.__getitem__, SPACED_CHUNK.findall(text))), self.dtype)
