@@ -101,6 +101,52 @@ def test_matrix_holds_every_word_count_under_one_number_a_word(spark):
     assert seen == {i: dict(Counter(t.split())) for i, t, _ in made}
 
 
+def shard_of(pieces):
+    """A shard that got each piece, rows (doc_id, part, text), in one call."""
+    import pyarrow as pa
+
+    from tidewatt.llm.audit import Shard
+
+    shard = Shard()
+    for rows in pieces:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+        shard.add(pa.record_batch(columns, ["id", "part", "text"]), 1)
+    return shard
+
+
+def test_shard_of_several_pieces_holds_the_words_of_every_text():
+    from collections import Counter
+
+    from tidewatt.llm.audit import NO_ID, unpacked
+
+    texts = ["", "b a b", " \t\v", "\fa\x1cb a\x85 c\x00\u2028\n", "a " * 500 + "\u00e9", "", "z b\r", " "]
+    rows = [(None if i == 3 else i, f"p{i % 2}", t) for i, t in enumerate(texts)]
+    for pieces in ([rows], [rows[:1], rows[1:4], rows[4:]], [[r] for r in rows], [rows[:1]], [rows[2:3], rows[5:6]]):
+        got = shard_of(pieces).row(5).to_pydict()
+        flat = [r for p in pieces for r in p]
+        assert got["shard"] == [5] and got["ids"] == [[NO_ID if r[0] is None else r[0] for r in flat]] and got["parts"] == [[r[1] for r in flat]]
+        words, (sizes, steps, counts) = [bytes(w).decode() for w in got["words"][0]], (unpacked(got[c][0]) for c in ("ends", "codes", "counts"))
+        assert len(set(words)) == len(words) and len(sizes) == len(flat)
+        ends = np.cumsum(sizes)
+        for (_, _, text), a, b in zip(flat, ends - sizes, ends):
+            assert (steps[a + 1 : b] > 0).all()
+            assert {words[c]: n for c, n in zip(np.cumsum(steps[a:b]), counts[a:b])} == dict(Counter(words_of(text)))
+
+
+def test_python_work_of_a_shard_does_not_grow_with_the_words_of_its_texts():
+    import cProfile
+    import pstats
+
+    def calls(n):
+        profile = cProfile.Profile()
+        rows = [(i, "en", " ".join(f"w{(i * j) % n}" for j in range(n))) for i in range(5)]
+        profile.runcall(lambda: shard_of([rows]).row(0))
+        return pstats.Stats(profile).total_calls
+
+    calls(10)  # imports
+    assert calls(20_000) - calls(100) < 100
+
+
 def test_audit_of_an_empty_table_has_no_row(spark):
     from tidewatt.llm.audit import filter_audit
 

@@ -10,12 +10,12 @@ and every order of the filters is worked out on the counts of the 32 patterns a
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ from tidewatt.llm.common import give_back, materialize, slices, whole_text
 FILTERS = "ABCDE"
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD_BYTES = 1 << 25
+#: Bytes of text that a task splits into words at once; a longer text is split whole.
+PIECE_BYTES = 1 << 21
 #: Ranges of word hashes within which the dictionary numbers words: a few hundred thousand each at 10^9 words.
 BUCKETS = 4096
 CAPITALS, SPECIALS = bytes(range(65, 91)), b"#$%&*|"
@@ -42,59 +44,65 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), "u1").reshape(4, n).T.copy().view("<u4").reshape(-1).astype("i8")
 
 
-class Vocabulary(dict):
-    """Word -> its number, in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Shard:
     """Rows of the matrix under the shard's own vocabulary, and what else the filters need of each text."""
 
     def __init__(self):
-        self.words = Vocabulary()
-        self.ids, self.parts, self.flags, self.hashes, self.ends, self.codes, self.counts = [], [], [], [], [], [], []
-        self.size = self.stored = 0
-
-    def add(self, doc_id: int | None, part: str, text: str) -> None:
-        data = text.encode()
-        row = Counter(data.split())  # bytes split at the six ASCII white-space characters
-        codes = np.fromiter(map(self.words.__getitem__, row), "u4", len(row))
-        order = codes.argsort()
-        codes, counts = codes[order], np.fromiter(row.values(), "u4", len(row))[order]
-        shouts = 100 * (len(data) - len(data.translate(None, CAPITALS))) > 10 * len(text)
-        marked = len(data.translate(None, SPECIALS)) < len(data)
-        self.ids.append(NO_ID if doc_id is None else doc_id)
-        self.parts.append(part)
-        self.flags.append(4 * shouts + 8 * marked)
-        self.hashes.append(hashlib.sha256(data).digest())
-        self.codes.append(codes)
-        self.counts.append(counts)
-        self.stored += len(codes)
-        self.ends.append(self.stored)
-        self.size += len(data) + 64
+        self.ids, self.parts, self.flags, self.hashes, self.pieces = [], [], [], [], []
+        self.size = 0
+
+    def add(self, rows: pa.RecordBatch, size: int) -> None:
+        """A few MB of texts: split in Arrow, each word a number among the words of these texts."""
+        ids, parts, texts = rows.columns
+        split = pc.ascii_split_whitespace(texts)  # the six ASCII white-space characters; a run at either end leaves an empty word
+        words, owner = split.flatten(), pc.list_parent_indices(split)
+        real = pc.not_equal(pc.binary_length(words), 0)
+        own = words.filter(real).cast(pa.binary()).dictionary_encode()
+        self.pieces.append((own.dictionary, own.indices.to_numpy(), np.bincount(owner.filter(real).to_numpy(), minlength=len(ids))))
+        for data, length in zip(texts.cast(pa.binary()).to_pylist(), pc.utf8_length(texts).to_pylist()):
+            shouts = 100 * (len(data) - len(data.translate(None, CAPITALS))) > 10 * length
+            marked = len(data.translate(None, SPECIALS)) < len(data)
+            self.flags.append(4 * shouts + 8 * marked)
+            self.hashes.append(hashlib.sha256(data).digest())
+        self.ids += ids.fill_null(NO_ID).to_pylist()
+        self.parts += parts.to_pylist()
+        self.size += size
+
+    def matrix(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, stored entries a row, codes, counts): codes ascend within a row and are stored as steps, which are small."""
+        named = pa.concat_arrays([words for words, _, _ in self.pieces]).dictionary_encode()
+        codes, sizes, steps, counts = named.indices.to_numpy(), [], [], []
+        for words, numbers, lengths in self.pieces:
+            cells = np.repeat(np.arange(len(lengths), dtype="i8") << 32, lengths)
+            cells |= codes[: len(words)][numbers]
+            codes = codes[len(words) :]
+            cells.sort()
+            ends = np.flatnonzero(np.diff(cells, append=-1))
+            counts.append(np.diff(ends, prepend=-1).astype("u4"))
+            cells = cells[ends]
+            row, code = cells >> 32, cells.astype("u4")
+            steps.append(np.where(np.diff(row, prepend=-1) > 0, code, np.diff(code, prepend=code[:1])))
+            sizes.append(np.bincount(row, minlength=len(lengths)))
+        return named.dictionary, *map(np.concatenate, (sizes, steps, counts))
 
     def row(self, name: int) -> pa.RecordBatch:
-        """Codes are stored as steps within their row, which are small."""
         first = {}
         for h, i in zip(self.hashes, self.ids):
             first[h] = min(i, first.get(h, i))
-        steps = [np.diff(c, prepend=np.uint32(0)) for c in self.codes]
+        words, sizes, steps, counts = self.matrix()
         return pa.record_batch(
             {
                 "shard": pa.array([name], pa.int64()),
-                "words": pa.array([list(self.words)], pa.list_(pa.binary())),
+                "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                 "ids": pa.array([self.ids], pa.list_(pa.int64())),
                 "parts": pa.array([self.parts], pa.list_(pa.string())),
                 "flags": pa.array([self.flags], pa.list_(pa.int32())),
                 "hashes": pa.array([self.hashes], pa.list_(pa.binary())),
                 "firsts": pa.array([list(first)], pa.list_(pa.binary())),
                 "first_ids": pa.array([list(first.values())], pa.list_(pa.int64())),
-                "ends": pa.array([packed(np.diff(np.array(self.ends, "i8"), prepend=0))], pa.binary()),
-                "codes": pa.array([packed(np.concatenate(steps))], pa.binary()),
-                "counts": pa.array([packed(np.concatenate(self.counts))], pa.binary()),
+                "ends": pa.array([packed(sizes)], pa.binary()),
+                "codes": pa.array([packed(steps)], pa.binary()),
+                "counts": pa.array([packed(counts)], pa.binary()),
             }
         )
 
@@ -111,8 +119,13 @@ def split_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, sha
     def sharded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, made, task = Shard(), 0, TaskContext.get().partitionId()
         for batch in slices(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                shard.add(*row)
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy() + 64, dtype="i8")
+            at = done = 0
+            while at < batch.num_rows:
+                room = min(shard_bytes - shard.size, PIECE_BYTES)
+                to = min(int(ends.searchsorted(done + room)) + 1, batch.num_rows)
+                shard.add(batch.slice(at, to - at), int(ends[to - 1]) - done)
+                at, done = to, int(ends[to - 1])
                 if shard.size >= shard_bytes:
                     yield shard.row(task << 32 | made)
                     shard, made = Shard(), made + 1
