@@ -41,9 +41,10 @@ def _ranks(i: int, probability: float) -> tuple[Column, Column]:
 
 
 def _held(i: int, probability: float) -> tuple[Column, Column]:
-    """Whether the bracket reaches down to the lower rank, and up to the upper one."""
+    """Whether the bracket reaches down to the lower rank, and up to the upper one; without values there is none to reach."""
     low, high = _ranks(i, probability)
-    return F.col(f"under{i}") <= low, high < F.col(f"under{i}") + F.col(f"inside{i}")
+    none = F.col(f"n{i}") == 0
+    return none | (F.col(f"under{i}") <= low), none | (high < F.col(f"under{i}") + F.col(f"inside{i}"))
 
 
 def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], n: int, probability: float, accuracy: int, small: int) -> DataFrame:
